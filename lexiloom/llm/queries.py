@@ -28,6 +28,13 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), carry={"text_sha256": F.sha2(normal_text(F.col("text")), 256)})
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash_classes
+
+    rows = simhash_classes(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
@@ -36,7 +43,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op4_token_counts, op5_exact_dedup)}
+    return {f.__name__: f for f in (op1_packing, op4_token_counts, op5_exact_dedup, op8_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
