@@ -141,7 +141,7 @@ def find_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
             yield pa.record_batch([*batch.columns, pa.array(hits, kind)], names=[*names, "hits"])
 
     rows = docs.select(*[F.col(f"`{c}`") for c in names])
-    schema = rows.schema.add("hits", T.ArrayType(T.StructType().add("item_id", "long").add("distance", "integer")))
+    schema = T.StructType([*rows.schema, T.StructField("hits", T.ArrayType(T.StructType().add("item_id", "long").add("distance", "integer")))])
     return rows.mapInArrow(run, schema)
 
 
