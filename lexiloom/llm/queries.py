@@ -51,6 +51,15 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.size("hits") > 0).alias("contaminated"), F.size("hits").alias("n_items"), F.col("hits.item_id").alias("item_ids"), F.array_min("hits.distance").alias("distance"))
 
 
+def op7_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import shared_dir
+    from .rans_store import read_ids, write_ids
+
+    path = shared_dir(spark)
+    write_ids(table(spark, sf_dir, "documents"), path)
+    return read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_classes
 
@@ -124,7 +133,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_language_id, op3_quality, op4_token_counts, op5_exact_dedup, op6_decontamination, op8_simhash, op10_url_filter)}
+    return {f.__name__: f for f in (op1_packing, op2_language_id, op3_quality, op4_token_counts, op5_exact_dedup, op6_decontamination, op7_binary_ids, op8_simhash, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
