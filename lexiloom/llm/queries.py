@@ -67,6 +67,14 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bloom_lm import score_texts
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 7) == 2
+    return score_texts(docs, docs.filter(~held_out), keep={"held_out": held_out})
+
+
 def list_changes(pages: DataFrame) -> DataFrame:
     """A dated list over the hosts of a table of pages (which has none): a quarter of the hosts is listed on some day, of these
     half are taken off later, of these half come back; a sixteenth of the hosts has its /fr/ pages listed; two domains are listed for a time."""
@@ -133,7 +141,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_language_id, op3_quality, op4_token_counts, op5_exact_dedup, op6_decontamination, op7_binary_ids, op8_simhash, op10_url_filter)}
+    return {f.__name__: f for f in (op1_packing, op2_language_id, op3_quality, op4_token_counts, op5_exact_dedup, op6_decontamination, op7_binary_ids, op8_simhash, op9_lm_scores, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
