@@ -44,3 +44,16 @@ def removed(df: DataFrame) -> None:
 def remainder(doc_id: str, modulus: int) -> Column:
     """crc32(doc_id as text) mod modulus."""
     return F.crc32(F.col(doc_id).cast("string")) % modulus
+
+
+def slices(batch, column: int, size: int = 3_000_000):
+    """An Arrow batch in parts of about so many bytes of a text column, so that what a worker makes of them stays small."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, side="right")))
+        yield batch.slice(a, b - a)
+        a = b

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SALTS, stored
+from .common import SALTS, slices, stored
 from .components import components
 
 #: Shingles whose bits are summed at a time.
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     """doc_id and segments (array of 32-bit integers, the most significant first) of each row; distinct: each shingle counts once."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (s for b in batches for s in slices(b, 1)):
             hashes = [shingle_hashes(t, words) for t in batch.column(1).to_pylist()]
             if distinct:
                 hashes = [list(set(h)) for h in hashes]
@@ -173,7 +173,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     met = bare.join(F.broadcast(maps), "map").withColumn("byte", byte).filter("shiftright(byte, cast(bit % 8 as int)) & 1 = 1").select("id", "text")
 
     def shingled(batches):
-        for batch in batches:
+        for batch in (s for b in batches for s in slices(b, 1)):
             sets = [sorted(x - (1 << 64) if x >> 63 else x for x in set(shingle_hashes(t, words))) for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
 
