@@ -9,12 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SALTS, stored
-
-#: Bits of the filter that says which (length, prefix) pairs occur again: 1024 maps of 4 KB, whatever the input.
-FILTER_BITS = 1 << 25
-_MAP_BITS = 1 << 15
-
+from .common import SALTS, filter_of, stored, with_hit
 
 def normal_text(text: Column) -> Column:
     """Runs of white space as one space; null as empty."""
@@ -35,19 +30,14 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pre
     """
     body = normal_text(F.col(text))
     size, head = F.octet_length(body).cast("long"), F.xxhash64(F.substring(body, 1, prefix))
-    bit = F.pmod(F.xxhash64(F.col("_size"), F.col("_head")), F.lit(FILTER_BITS))
     pairs = docs.select(size.alias("_size"), head.alias("_head")).groupBy("_size", "_head").agg(F.count("*").alias("_n"))
-    again = pairs.filter("_n > 1").select(bit.alias("_bit"))
-    maps = again.groupBy(F.expr(f"_bit div {_MAP_BITS}").alias("_map")).agg(F.expr(f"bitmap_construct_agg(_bit % {_MAP_BITS})").alias("_bits"))
+    maps = filter_of(pairs.filter("_n > 1"), "_size", "_head")
 
     extra = carry or {}
     rows = docs.select(F.col(doc_id).alias("doc_id"), size.alias("_size"), head.alias("_head"), body.alias("_body"), *[c.alias(f"_carry_{k}") for k, c in extra.items()])
-    rows = rows.withColumn("_bit", bit).withColumn("_map", F.expr(f"_bit div {_MAP_BITS}")).join(F.broadcast(maps), "_map", "left")
-    byte = F.expr(f"conv(hex(substring(_bits, cast((_bit % {_MAP_BITS}) div 8 + 1 as int), 1)), 16, 10)").cast("int")
-    hit = F.coalesce(F.expr("shiftright(_byte, cast(_bit % 8 as int)) & 1") == 1, F.lit(False))
-    rows = rows.withColumn("_byte", byte).select(
+    rows = with_hit(rows, maps, "_size", "_head").select(
         "doc_id", "_size", "_head", F.monotonically_increasing_id().alias("_row"),
-        F.when(hit, F.unhex(F.sha2(F.col("_body"), 256))).alias("_full"), *[f"_carry_{k}" for k in extra],
+        F.when(F.col("_hit"), F.unhex(F.sha2(F.col("_body"), 256))).alias("_full"), *[f"_carry_{k}" for k in extra],
     )
     rows = stored(rows).withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)))
 

@@ -14,6 +14,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of a window, and of the largest filter less one: neighbours share so many bytes.
 WINDOW, WIDTHS, FILTERS, EMBEDDED = 256, (2, 3, 4, 5), (8, 12, 12, 12), 8
@@ -167,5 +168,7 @@ def predict_languages(docs: DataFrame, net: ByteNetwork, doc_id: str = "doc_id",
             yield pa.record_batch([batch.column(0), *batch.columns[2:], pa.array(lang), pa.array(score)], names=[*names, "lang_pred", "score"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), *[c.alias(k) for k, c in more.items()])
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.mapInArrow(run, ", ".join([f"doc_id {kinds['doc_id']}", *[f"`{k}` {kinds[k]}" for k in more], "lang_pred string", "score double"]))
+    schema = T.StructType([f for f in rows.schema if f.name != "text"])
+    for name, kind in [("lang_pred", "string"), ("score", "double")]:
+        schema.add(name, kind)
+    return rows.mapInArrow(run, schema)

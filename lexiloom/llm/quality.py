@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The statistics of a text, in order.
 STATISTICS = (
@@ -155,5 +156,7 @@ def quality_scores(docs: DataFrame, forest: Forest, doc_id: str = "doc_id", text
             yield pa.record_batch([batch.column(0), *batch.columns[2:], pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), *[c.alias(k) for k, c in more.items()])
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.mapInArrow(work, ", ".join([f"doc_id {kinds['doc_id']}", *[f"`{k}` {kinds[k]}" for k in more], "score double", "predicted int"]))
+    schema = T.StructType([f for f in rows.schema if f.name != "text"])
+    for name, kind in [("score", "double"), ("predicted", "integer")]:
+        schema.add(name, kind)
+    return rows.mapInArrow(work, schema)

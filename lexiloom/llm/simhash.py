@@ -15,12 +15,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SALTS, slices, stored
+from .common import SALTS, filter_of, slices, stored, with_hit
 from .components import components
 
 #: Shingles whose bits are summed at a time.
 _BLOCK = 200_000
-_FILTER_BITS, _MAP_BITS = 1 << 25, 1 << 15
 
 
 def shingle_hashes(text: str | None, words: int) -> list[int]:
@@ -158,19 +157,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     n = bits // 32
     rows = stored(fingerprints(docs, doc_id, text, 1, bits, distinct=True)).withColumn("blank", F.forall("segments", lambda x: x == 0)).filter("not blank")
-    balls = rows.select("doc_id", F.posexplode("segments").alias("place", "segment")).select("doc_id", "place", F.col("segment").bitwiseXOR(F.explode(_ball())).alias("key"))
+    balls = rows.select("doc_id", F.posexplode("segments").alias("place", "segment")).select("doc_id", "place", "segment", F.explode(_ball()).alias("mask")).select("doc_id", "place", F.col("segment").bitwiseXOR(F.col("mask")).alias("key"))
     least = balls.groupBy("place", "key").agg(F.min("doc_id").alias("v"), F.count("*").alias("n")).filter("n > 1").drop("n")
     pairs = balls.join(least, ["place", "key"]).filter("doc_id <> v").select(F.col("doc_id").alias("u"), "v").distinct()
     left = rows.select(F.col("doc_id").alias("u"), F.col("segments").alias("a"))
     right = rows.select(F.col("doc_id").alias("v"), F.col("segments").alias("b"))
     close = stored(pairs.join(left, "u").join(right, "v").filter(distance("a", "b", n) <= bits // 5).select("u", "v"))
 
-    bit = F.pmod(F.xxhash64("id"), F.lit(_FILTER_BITS))
-    ends = close.select(F.explode(F.array("u", "v")).alias("id")).select(bit.alias("bit"))
-    maps = ends.groupBy(F.expr(f"bit div {_MAP_BITS}").alias("map")).agg(F.expr(f"bitmap_construct_agg(bit % {_MAP_BITS})").alias("bits"))
-    bare = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).withColumn("bit", bit).withColumn("map", F.expr(f"bit div {_MAP_BITS}"))
-    byte = F.expr(f"conv(hex(substring(bits, cast((bit % {_MAP_BITS}) div 8 + 1 as int), 1)), 16, 10)").cast("int")
-    met = bare.join(F.broadcast(maps), "map").withColumn("byte", byte).filter("shiftright(byte, cast(bit % 8 as int)) & 1 = 1").select("id", "text")
+    ends = close.select(F.explode(F.array("u", "v")).alias("id"))
+    bare = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
+    met = with_hit(bare, filter_of(ends, "id"), "id").filter("_hit").select("id", "text")
 
     def shingled(batches):
         for batch in (s for b in batches for s in slices(b, 1)):
