@@ -92,7 +92,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
 
 def distance(a: str, b: str, segments: int) -> Column:
     """Differing bits of two columns of segments."""
-    return reduce(lambda x, y: x + y, [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(segments)])
+    return reduce(lambda x, y: x + y, [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i]).cast("long").bitwiseAND(0xFFFFFFFF)) for i in range(segments)])
 
 
 def _ball() -> Column:
@@ -144,6 +144,19 @@ def simhash_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.join(spread, ["fp", "salt"], "left").select("doc_id", "fp", "component_id")
 
 
+#: Members of a table row that are compared with each other.
+ROW = 16
+
+
+def _met(members: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Pairs u > v of the rows of 2 to ROW members, and the members of longer rows with the smallest of each (v)."""
+    rows = members.groupBy(*key).agg(F.count("*").alias("n"), F.min("doc_id").alias("v")).filter("n > 1")
+    met = members.join(rows, key)
+    few = met.filter(F.col("n") <= ROW).groupBy(*key).agg(F.collect_list("doc_id").alias("all"))
+    pairs = few.select("all", F.explode("all").alias("u")).select("u", F.explode("all").alias("v")).filter("u > v")
+    return pairs, met.filter(F.col("n") > ROW).select("doc_id", *key, "v")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 128) -> DataFrame:
     """doc_id and component_id of every document that has a near duplicate; doc_id must be unique and not null.
 
@@ -158,8 +171,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     n = bits // 32
     rows = stored(fingerprints(docs, doc_id, text, 1, bits, distinct=True)).withColumn("blank", F.forall("segments", lambda x: x == 0)).filter("not blank")
     balls = rows.select("doc_id", F.posexplode("segments").alias("place", "segment")).select("doc_id", "place", "segment", F.explode(_ball()).alias("mask")).select("doc_id", "place", F.col("segment").bitwiseXOR(F.col("mask")).alias("key"))
-    least = balls.groupBy("place", "key").agg(F.min("doc_id").alias("v"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    pairs = balls.join(least, ["place", "key"]).filter("doc_id <> v").select(F.col("doc_id").alias("u"), "v").distinct()
+    pairs, big = _met(balls, ["place", "key"])
+    inner = rows.select("doc_id", F.posexplode("segments").alias("other", "segment"))
+    again, rest = _met(big.join(inner, "doc_id").filter("other <> place").select("doc_id", "place", "key", "other", "segment"), ["place", "key", "other", "segment"])
+    star = lambda x: x.select(F.col("doc_id").alias("u"), "v").filter("u <> v")
+    pairs = pairs.unionByName(again).unionByName(star(big)).unionByName(star(rest)).distinct()
     left = rows.select(F.col("doc_id").alias("u"), F.col("segments").alias("a"))
     right = rows.select(F.col("doc_id").alias("v"), F.col("segments").alias("b"))
     close = stored(pairs.join(left, "u").join(right, "v").filter(distance("a", "b", n) <= bits // 5).select("u", "v"))
