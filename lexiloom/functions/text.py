@@ -109,10 +109,13 @@ def porter(word: str) -> str:
     return word
 
 
-@F.pandas_udf("string")
-def stem(words: pd.Series) -> pd.Series:
-    """Meant for a distinct vocabulary, not for every token."""
-    return words.map(porter)
+def stem(word: str) -> Column:
+    """Of a column of words. Meant for a distinct vocabulary, not for every token."""
+
+    def stemmed(words: pd.Series) -> pd.Series:
+        return words.map(porter)
+
+    return F.pandas_udf(stemmed, "string")(word)
 
 
 # -- queries ---------------------------------------------------------------------------

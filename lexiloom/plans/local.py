@@ -1 +1,79 @@
-"""Queries without SQL."""
+"""Queries that SQL cannot express; tests compare them with small cases or with a batch result."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from lexiloom.operators.embed import embedded, hashing
+from lexiloom.operators.extract import extract_refs, extract_symbols
+from lexiloom.operators.search import bm25
+from lexiloom.operators.structural import structural_blocks, structural_chunks
+from lexiloom.plans.registry import docs, query
+from lexiloom.sources import views as v
+
+#: Languages in turn, so that every splitter and extractor runs over all documents; each document's lines become small functions.
+_SOURCE = {"go": ("func f{0}() {{", "}}"), "python": ("def f{0}():", "    pass"), "javascript": ("function f{0}() {{", "}}"), "rust": ("fn f{0}() {{", "}}"), "c": ("int f{0}() {{", "}}"), "php": ("function f{0}() {{", "}}"), "zig": ("pub fn f{0}() void {{", "}}"), "markdown": ("# f{0}", "")}
+
+
+def sources(s, d):
+    """Every document as a source file of some language, its text a comment between two functions."""
+    out = None
+    for k, (language, (opening, closing)) in enumerate(_SOURCE.items()):
+        mark = "# " if language == "python" else "// "
+        head = F.concat(F.lit(opening.format("1")), F.lit("\n"), F.lit(closing.format("")), F.lit("\n"))
+        tail = F.concat(F.lit("\n"), F.lit(opening.format("2")), F.lit("\n    f1()\n"), F.lit(closing.format("")))
+        body = F.regexp_replace("content", r"(?m)^", mark) if language != "markdown" else F.col("content")
+        part = v.files(s, d).filter(F.col("doc_id") % len(_SOURCE) == k).select("rel_path", F.lit(language).alias("language"), "hash", F.concat(head, body, tail).alias("content"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("st_blocks")
+def st_blocks(s, d):
+    return structural_blocks(sources(s, d))
+
+
+@query("ch_structural")
+def ch_structural(s, d):
+    return structural_chunks(sources(s, d), 5, 1)
+
+
+@query("ch_do_structural")
+def ch_do_structural(s, d):
+    return structural_chunks(sources(s, d), 50, 10).groupBy("strategy", "language").agg(F.count("*").alias("chunks"), F.countDistinct("rel_path").alias("files"))
+
+
+@query("gx_symbols")
+def gx_symbols(s, d):
+    return extract_symbols(sources(s, d))
+
+
+@query("gx_refs")
+def gx_refs(s, d):
+    return extract_refs(sources(s, d))
+
+
+@query("ix_embed")
+def ix_embed(s, d):
+    return embedded(v.chunks(s, d, 50, 10), hashing(64))
+
+
+@query("ft_bm25_stemmed")
+def ft_bm25_stemmed(s, d):
+    return bm25(docs(s, d), "license* version*", stemmed=True)
+
+
+@query("sm_watch")
+def sm_watch(s, d):
+    """The change stream through Structured Streaming, once; the same as sm_latest."""
+    from lexiloom.streaming.watch import live, watch
+
+    base = s.conf.get("spark.checkpoint.dir", None) or "file:///tmp/lexiloom-watch"
+    here = f"{base.rstrip('/')}/watch-{uuid.uuid4().hex}"
+    raw = s.read.parquet(f"{d}/events.parquet")
+    stream = s.readStream.schema(raw.schema).option("pathGlobFilter", "events*.parquet").parquet(d)
+    rows = stream.selectExpr("user_id AS file", "ts", "event_id", "event_type = 'error' AS deleted", "substr(sha2(coalesce(props, ''), 256), 1, 16) AS payload")
+    watch(rows, f"{here}/state", f"{here}/checkpoint", once=True).awaitTermination()
+    return live(s, f"{here}/state")
