@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,6 +42,12 @@ def removed(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def returned(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files of plans that are done with; it does so when their objects are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remainder(doc_id: str, modulus: int) -> Column:
     """crc32(doc_id as text) mod modulus."""
     return F.crc32(F.col(doc_id).cast("string")) % modulus

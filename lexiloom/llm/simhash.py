@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SALTS, filter_of, slices, stored, with_hit
+from .common import SALTS, filter_of, returned, slices, stored, with_hit
 from .components import components
 
 #: Shingles whose bits are summed at a time.
@@ -170,12 +170,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     n = bits // 32
     rows = stored(fingerprints(docs, doc_id, text, 1, bits, distinct=True)).withColumn("blank", F.forall("segments", lambda x: x == 0)).filter("not blank")
-    balls = rows.select("doc_id", F.posexplode("segments").alias("place", "segment")).select("doc_id", "place", "segment", F.explode(_ball()).alias("mask")).select("doc_id", "place", F.col("segment").bitwiseXOR(F.col("mask")).alias("key"))
-    pairs, big = _met(balls, ["place", "key"])
-    inner = rows.select("doc_id", F.posexplode("segments").alias("other", "segment"))
-    again, rest = _met(big.join(inner, "doc_id").filter("other <> place").select("doc_id", "place", "key", "other", "segment"), ["place", "key", "other", "segment"])
     star = lambda x: x.select(F.col("doc_id").alias("u"), "v").filter("u <> v")
-    pairs = pairs.unionByName(again).unionByName(star(big)).unionByName(star(rest)).distinct()
+    found = []
+    for place in range(n):  # a segment at a time: what one shuffles is given back before the next
+        balls = rows.select("doc_id", F.col("segments")[place].alias("segment"), F.explode(_ball()).alias("mask")).select("doc_id", F.col("segment").bitwiseXOR(F.col("mask")).alias("key"))
+        pairs, big = _met(balls, ["key"])
+        inner = rows.select("doc_id", F.posexplode("segments").alias("other", "segment")).filter(F.col("other") != place)
+        again, rest = _met(big.join(inner, "doc_id").select("doc_id", "key", "other", "segment"), ["key", "other", "segment"])
+        found.append(stored(pairs.unionByName(again).unionByName(star(big)).unionByName(star(rest)).distinct()))
+        returned(docs.sparkSession)
+    pairs = reduce(DataFrame.unionByName, found).distinct()
     left = rows.select(F.col("doc_id").alias("u"), F.col("segments").alias("a"))
     right = rows.select(F.col("doc_id").alias("v"), F.col("segments").alias("b"))
     close = stored(pairs.join(left, "u").join(right, "v").filter(distance("a", "b", n) <= bits // 5).select("u", "v"))
