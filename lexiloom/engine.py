@@ -20,7 +20,7 @@ def search(chunks: DataFrame, vectors: DataFrame, query: str, query_vector: list
 
 def percent(found: DataFrame) -> DataFrame:
     """Scores as percent of the best of what was found."""
-    return found.withColumn("score", 100 * F.col("score") / F.max("score").over(W.partitionBy()))
+    return found.withColumn("score", 100 * F.col("score") / F.max("score").over(W.partitionBy())).orderBy(F.desc("score"), "id")
 
 
 class Engine:

@@ -37,7 +37,9 @@ DEFINITIONS: dict[str, tuple[tuple[str, str], ...]] = {
 }
 _COMPILED = {k: [(re.compile(p), kind) for p, kind in v] for k, v in DEFINITIONS.items()}
 #: Words before a parenthesis that are no calls.
-_NO_CALL = frozenset("if for while switch catch return func function fn def match select range sizeof defer go new class struct interface type elif else and or not in is lambda with assert except print_ typeof".split())
+_NO_CALL = frozenset("if for while switch catch return func function fn def sizeof new class struct interface type elif else and or not in is lambda with assert except print_ typeof".split())
+#: And what a pattern of definitions may take for a name.
+_NO_NAME = frozenset("if for while switch catch return else".split())
 _CALL = re.compile(rf"(?<![\w$])({_NAME})(!?)\s*\(")
 _GO_IMPORT = re.compile(r'^\s*(?:import\s+)?(?:(?P<alias>[\w.]+)\s+)?"(?P<path>[^"]+)"\s*$')
 _JS_IMPORT = re.compile(r"""^\s*import\s+(?:type\s+)?(?P<names>.+?)\s+from\s+['"](?P<path>[^'"]+)['"]""")
@@ -140,7 +142,7 @@ def _lexed(found: _Found) -> None:
         text, own = _bare(raw), None
         for pattern, kind in patterns:
             m = pattern.match(raw if kind == "function" and language == "zig" else text)
-            if m and m["name"] not in _NO_CALL:
+            if m and m["name"] not in _NO_NAME:
                 own = m["name"]
                 last = brace_end(lines, i - 1) + 1 if kind not in ("variable", "constant", "type") else i
                 if last == i and "{" not in text and i < len(lines) and lines[i].strip().startswith("{"):

@@ -143,5 +143,5 @@ def hybrid(chunks: DataFrame, vectors: DataFrame, query: str, query_vector: list
     except words.QuerySyntaxError:
         text = bm25(chunks, "", 2 * limit)
     top = fuse(near, text, limit)
-    out = chunks.join(F.broadcast(top), "id")  # at most limit rows
+    out = chunks.join(F.broadcast(top), "id").orderBy(F.desc("score"), "id")  # at most limit rows
     return out.filter(path_matches(F.col("rel_path"), path)) if compat and path else out
