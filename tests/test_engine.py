@@ -107,7 +107,7 @@ def test_index_of_a_source_tree(spark, tmp_path):
     index.index_all(listing, store, embed)
     e = Engine(spark, store, embed=embed)
     assert [r[0] for r in e.list_files().collect()] == ["main.go", "pkg/a.py"] and e.stats().first()["files"] == 2
-    assert e.grep("helper").count() == 2 and e.search("helper").first()["score"] == 100 and e.find_imports("o").count() == 1
+    assert e.grep("helper").count() == 2 and e.search("helper").first()["score"] == 100 and e.find_imports("os").count() == 1
     assert e.symbol_info("helper").count() == 1
     (root / "main.go").write_text("package main\nfunc other() {\n}\n")
     (root / "pkg" / "a.py").unlink()
