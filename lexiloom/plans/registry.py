@@ -699,3 +699,44 @@ def ag_max_norm_search(s, d):
 
     rows = docs(s, d).select(F.col("doc_id").alias("id"), "rel_path", "content")
     return percent(search.hybrid(rows, v.vectors(s, d), "the", asked(s, d))).select(F.col("id").alias("doc_id"), F.round("score", 4).alias("score"))
+
+
+# -- whole runs ------------------------------------------------------------------------------------------
+
+
+@query("src_walk", f"WITH p AS ({_PATHS}) SELECT path, {_LANG_CASE} AS language FROM p WHERE {_LANG_CASE} IS NOT NULL AND NOT regexp_matches(path, '{patterns.ignore_regex()}') AND NOT starts_with(path, 'src/m1')")
+def src_walk(s, d):
+    """What a walk keeps of a listing: known languages, nothing ignored, no submodule (sources.files.walk reads the files themselves)."""
+    known = paths(s, d).withColumn("language", patterns.language_of(F.col("path"))).filter("language is not null")
+    return known.filter(~F.col("path").rlike(patterns.ignore_regex()) & ~F.col("path").startswith("src/m1"))
+
+
+_NOW = CHUNKS.replace("WHERE text IS NOT NULL)", "WHERE text IS NOT NULL AND doc_id % 11 <> 0)").replace("substr(sha256(text), 1, 16) AS hash", "CASE WHEN doc_id % 5 = 0 THEN 'changed' ELSE substr(sha256(text), 1, 16) END AS hash")
+
+
+@query("sm_incremental", f"WITH {_NOW} SELECT id, content FROM v_chunks")
+def sm_incremental(s, d):
+    """Only what differs is cut anew, what is gone is dropped: the same chunks as a full run over the new files."""
+    from lexiloom.operators.chunks import sliding_chunks
+
+    old, new = v.files(s, d).filter("doc_id % 13 <> 0"), some_files(s, d, 11)
+    diff = tables.snapshot_diff(old, new)
+    kept = tables.delete_paths(sliding_chunks(old, 5, 1), diff)
+    renewed = sliding_chunks(new.join(diff.select("rel_path"), "rel_path", "left_semi"), 5, 1)
+    return kept.unionByName(renewed).select("id", "content")
+
+
+@query("sm_full", f"WITH {_NOW} SELECT id, content FROM v_chunks")
+def sm_full(s, d):
+    from lexiloom.operators.chunks import sliding_chunks
+
+    return sliding_chunks(some_files(s, d, 11), 5, 1).select("id", "content")
+
+
+_QUERY_TEXTS = "SELECT conv_id, turn, coalesce(text, '') AS q FROM conversations"
+
+
+@query("flt_is_regex", f"WITH c AS ({_QUERY_TEXTS}) SELECT conv_id, turn, regexp_matches(q, '[.*+?|()\\[\\]{{}}^$\\\\]') AS is_regex FROM c")
+def flt_is_regex(s, d):
+    q = F.coalesce("text", F.lit(""))
+    return table(s, d, "conversations").select("conv_id", "turn", q.rlike(r"[.*+?|()\[\]{}^$\\]").alias("is_regex"))
