@@ -15,26 +15,23 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SALTS, filter_of, returned, slices, stored, with_hit
+from .common import SALTS, filter_of, removed, returned, slices, stored, with_hit
 from .components import components
 
 #: Shingles whose bits are summed at a time.
 _BLOCK = 200_000
+#: Bytes of text whose shingles a worker holds at a time.
+_SLICE = 1_000_000
 
 
-def shingle_hashes(text: str | None, words: int) -> list[int]:
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     """XXH64 (seed 42) of every run of so many words, A-Z lower-cased, repeats included; of the whole if it has fewer; none of no word."""
-    parts = (text or "").encode().lower().split()
-    if not parts:
-        return []
-    if len(parts) <= words:
-        return [xxhash.xxh64_intdigest(b" ".join(parts), 42)]
-    if words == 1:
-        return [xxhash.xxh64_intdigest(p, 42) for p in parts]
-    joined, digest = b" ".join(parts), xxhash.xxh64_intdigest
-    ends = np.cumsum([len(p) + 1 for p in parts]) - 1
-    begins = [0, *(ends[: len(parts) - words] + 1).tolist()]
-    return [digest(joined[a:b], 42) for a, b in zip(begins, ends[words - 1 :].tolist())]
+    joined, digest = b" ".join((text or "").encode().lower().split()), xxhash.xxh64_intdigest
+    if not joined:
+        return np.zeros(0, np.uint64)
+    ends = np.append(np.flatnonzero(np.frombuffer(joined, np.uint8) == 32), len(joined))
+    begins, ends = np.append(0, ends[: max(len(ends) - words, 0)] + 1), ends[min(words, len(ends)) - 1 :]
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(memoryview(begins), memoryview(ends))), np.uint64, len(ends))
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -46,7 +43,7 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
-def fingerprints_of(hashes: list[list[int]], bits: int = 64) -> np.ndarray:
+def fingerprints_of(hashes: list[np.ndarray], bits: int = 64) -> np.ndarray:
     """A row of bits / 32 segments (int32) for each list: a bit is 1 if set in over half of the hashes; of no hash, 0."""
     n = np.array([len(h) for h in hashes])
     out = np.zeros((len(hashes), bits), np.uint8)
@@ -77,10 +74,10 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     """doc_id and segments (array of 32-bit integers, the most significant first) of each row; distinct: each shingle counts once."""
 
     def run(batches):
-        for batch in (s for b in batches for s in slices(b, 1)):
+        for batch in (s for b in batches for s in slices(b, 1, _SLICE)):
             hashes = [shingle_hashes(t, words) for t in batch.column(1).to_pylist()]
             if distinct:
-                hashes = [list(set(h)) for h in hashes]
+                hashes = [np.unique(h) for h in hashes]
             prints = fingerprints_of(hashes, bits)
             flat = pa.array(prints.reshape(-1))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1, dtype=np.int32) * (bits // 32)), flat)
@@ -149,12 +146,60 @@ ROW = 16
 
 
 def _met(members: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Pairs u > v of the rows of 2 to ROW members, and the members of longer rows with the smallest of each (v)."""
-    rows = members.groupBy(*key).agg(F.count("*").alias("n"), F.min("doc_id").alias("v")).filter("n > 1")
+    """Pairs u > v of different classes in the rows of 2 to ROW members, and the members of longer rows that hold
+    more than one class, with the smallest of the row (v, of_v: its class)."""
+    rows = members.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "class")).alias("least"), F.min("class").alias("lo"), F.max("class").alias("hi"))
+    rows = rows.filter("n > 1 and lo <> hi").select(*key, "n", F.col("least.doc_id").alias("v"), F.col("least.class").alias("of_v"))
     met = members.join(rows, key)
-    few = met.filter(F.col("n") <= ROW).groupBy(*key).agg(F.collect_list("doc_id").alias("all"))
-    pairs = few.select("all", F.explode("all").alias("u")).select("u", F.explode("all").alias("v")).filter("u > v")
-    return pairs, met.filter(F.col("n") > ROW).select("doc_id", *key, "v")
+    few = met.filter(F.col("n") <= ROW).groupBy(*key).agg(F.collect_list(F.struct("doc_id", "class")).alias("all"))
+    pairs = few.select("all", F.explode("all").alias("a")).select("a", F.explode("all").alias("b")).filter("a.doc_id > b.doc_id and a.class <> b.class")
+    return pairs.select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")), met.filter(F.col("n") > ROW).select("doc_id", "class", *key, "v", "of_v")
+
+
+def _balls(rows: DataFrame, place: int, *columns: str) -> DataFrame:
+    """A row for every element (key) of the ball about one segment."""
+    balls = rows.select("doc_id", *columns, F.col("segments")[place].alias("segment"), F.explode(_ball()).alias("mask"))
+    return balls.select("doc_id", *columns, F.col("segment").bitwiseXOR(F.col("mask")).alias("key"))
+
+
+def _first_candidates(rows: DataFrame) -> DataFrame:
+    """For every document the smallest ones that have one of its segments."""
+    parts = rows.select("doc_id", F.posexplode("segments").alias("place", "segment"))
+    least = parts.groupBy("place", "segment").agg(F.count("*").alias("n"), F.min("doc_id").alias("v")).filter("n > 1").drop("n")
+    return parts.join(least, ["place", "segment"]).filter("doc_id <> v").select(F.col("doc_id").alias("u"), "v").distinct()
+
+
+def _other_candidates(rows: DataFrame, place: int) -> DataFrame:
+    """Candidates of different classes: all pairs of short rows; in longer ones each member with the smallest, and the same once more among those that another segment deals together."""
+    star = lambda x: x.filter("class <> of_v").select(F.col("doc_id").alias("u"), "v")
+    pairs, long = _met(_balls(rows, place, "class"), ["key"])
+    inner = rows.select("doc_id", F.posexplode("segments").alias("other", "segment")).filter(F.col("other") != place)
+    again, rest = _met(long.select("doc_id", "class", "key").join(inner, "doc_id"), ["key", "other", "segment"])
+    return pairs.unionByName(again).unionByName(star(long)).unionByName(star(rest)).distinct()
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, words: int, similarity: float, n: int) -> DataFrame:
+    """Those of pairs u, v whose complete distance is small enough and whose sets of shingles are similar."""
+    left = rows.select(F.col("doc_id").alias("u"), F.col("segments").alias("a"))
+    right = rows.select(F.col("doc_id").alias("v"), F.col("segments").alias("b"))
+    close = stored(pairs.join(left, "u").join(right, "v").filter(distance("a", "b", n) <= n * 32 // 5).select("u", "v"))
+    ends = close.select(F.explode(F.array("u", "v")).alias("id"))
+    met = with_hit(docs, filter_of(ends, "id"), "id").filter("_hit").select("id", "text")
+
+    def shingled(batches):
+        for batch in (s for b in batches for s in slices(b, 1, _SLICE)):
+            sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in batch.column(1).to_pylist()]
+            ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["id", "set"])
+
+    sets = stored(met.mapInArrow(shingled, f"id {met.schema['id'].dataType.simpleString()}, set array<long>"))
+    both = close.join(sets.select(F.col("id").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("set").alias("b")), "v")
+    shared = both.withColumn("shared", F.size(F.array_intersect("a", "b")))
+    near = stored(shared.filter(F.col("shared") >= similarity * (F.size("a") + F.size("b") - F.col("shared")) - 1e-9).select("u", "v"))
+    removed(sets)
+    removed(close)
+    returned(docs.sparkSession)
+    return near
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 128) -> DataFrame:
@@ -162,40 +207,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Two texts are near duplicates if their sets of five-word shingles have a Jaccard similarity
     of at least ``similarity``. Candidates come from fingerprints over the distinct words (which a changed word
-    disturbs five times less than shingles): those that share an element of the
-    ball about one of the segments meet, and each is verified against the smallest of its
-    row, by the complete distance and then by the shingles. A row is summed to its smallest before the shuffle, so
-    its size does not matter. Of pairs at a similarity of exactly 0.8 about 98 % meet; the more alike, the
-    surer. A text without words has no near duplicate.
+    disturbs five times less than shingles): those that share an element of the ball about one of the segments
+    meet in a row, and each candidate is verified, by the complete distance and then by the shingles. First every
+    document is verified against the smallest that has one of its segments; then only candidates that are
+    not yet in one class, so a large group of near copies costs a few candidates a member. A row is
+    summed to its smallest before the shuffle, so its size does not matter. Of pairs at a similarity of exactly
+    0.8 about 98 % meet; the more alike, the surer. A text without words has no near duplicate.
     """
     n = bits // 32
+    bare = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
     rows = stored(fingerprints(docs, doc_id, text, 1, bits, distinct=True)).withColumn("blank", F.forall("segments", lambda x: x == 0)).filter("not blank")
-    star = lambda x: x.select(F.col("doc_id").alias("u"), "v").filter("u <> v")
+
+    first = _verified(_first_candidates(rows), rows, bare, words, similarity, n)
+    classes = components(first).select(F.col("node").alias("doc_id"), F.col("component").alias("class"))
+    known = stored(rows.join(classes, "doc_id", "left").select("doc_id", "segments", F.coalesce("class", "doc_id").alias("class")))
     found = []
     for place in range(n):  # a segment at a time: what one shuffles is given back before the next
-        balls = rows.select("doc_id", F.col("segments")[place].alias("segment"), F.explode(_ball()).alias("mask")).select("doc_id", F.col("segment").bitwiseXOR(F.col("mask")).alias("key"))
-        pairs, big = _met(balls, ["key"])
-        inner = rows.select("doc_id", F.posexplode("segments").alias("other", "segment")).filter(F.col("other") != place)
-        again, rest = _met(big.join(inner, "doc_id").select("doc_id", "key", "other", "segment"), ["key", "other", "segment"])
-        found.append(stored(pairs.unionByName(again).unionByName(star(big)).unionByName(star(rest)).distinct()))
+        found.append(stored(_other_candidates(known, place)))
         returned(docs.sparkSession)
-    pairs = reduce(DataFrame.unionByName, found).distinct()
-    left = rows.select(F.col("doc_id").alias("u"), F.col("segments").alias("a"))
-    right = rows.select(F.col("doc_id").alias("v"), F.col("segments").alias("b"))
-    close = stored(pairs.join(left, "u").join(right, "v").filter(distance("a", "b", n) <= bits // 5).select("u", "v"))
-
-    ends = close.select(F.explode(F.array("u", "v")).alias("id"))
-    bare = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
-    met = with_hit(bare, filter_of(ends, "id"), "id").filter("_hit").select("id", "text")
-
-    def shingled(batches):
-        for batch in (s for b in batches for s in slices(b, 1)):
-            sets = [sorted(x - (1 << 64) if x >> 63 else x for x in set(shingle_hashes(t, words))) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
-
-    kind = met.schema["id"].dataType.simpleString()
-    sets = stored(met.mapInArrow(shingled, f"id {kind}, set array<long>"))
-    both = close.join(sets.select(F.col("id").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("set").alias("b")), "v")
-    shared = both.withColumn("shared", F.size(F.array_intersect("a", "b")))
-    near = shared.filter(F.col("shared") >= similarity * (F.size("a") + F.size("b") - F.col("shared")) - 1e-9).select("u", "v")
+    others = _verified(reduce(DataFrame.unionByName, found).distinct(), rows, bare, words, similarity, n)
+    near = first.unionByName(others)
     return components(near).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
