@@ -2,7 +2,8 @@
 
 A fingerprint is cut into 32-bit segments. Around each segment the ball of radius 1 is
 enumerated, so two fingerprints whose segments differ in at most two bits meet in a table row;
-complete distances are then verified.
+complete distances are then verified. Near duplicates by the similarity of their shingles take the first shingles of each
+set instead (prefix filtering), which loses no pair.
 """
 
 from __future__ import annotations
@@ -141,48 +142,119 @@ def simhash_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.join(spread, ["fp", "salt"], "left").select("doc_id", "fp", "component_id")
 
 
-#: Members of a table row that are compared with each other.
-ROW = 16
+#: Cells in which shingles are counted; a task's share of a cell counts from SEEN on. Both only order the shingles: what is found does not depend on them.
+CELLS, SEEN = 1 << 22, 3
+#: Bits of a set's sketch, and members of a block of a long row: two blocks are compared at a time.
+SKETCH, BLOCK = 512, 256
 
 
-def _met(members: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Pairs u > v of different classes in the rows of 2 to ROW members, and the members of longer rows that hold
-    more than one class, with the smallest of the row (v, of_v: its class)."""
-    rows = members.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "class")).alias("least"), F.min("class").alias("lo"), F.max("class").alias("hi"))
-    rows = rows.filter("n > 1 and lo <> hi").select(*key, "n", F.col("least.doc_id").alias("v"), F.col("least.class").alias("of_v"))
-    met = members.join(rows, key)
-    few = met.filter(F.col("n") <= ROW).groupBy(*key).agg(F.collect_list(F.struct("doc_id", "class")).alias("all"))
-    pairs = few.select("all", F.explode("all").alias("a")).select("a", F.explode("all").alias("b")).filter("a.doc_id > b.doc_id and a.class <> b.class")
-    return pairs.select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")), met.filter(F.col("n") > ROW).select("doc_id", "class", *key, "v", "of_v")
+def _cell(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(20) & np.uint64(CELLS - 1)).astype(np.int64)
 
 
-def _balls(rows: DataFrame, place: int, *columns: str) -> DataFrame:
-    """A row for every element (key) of the ball about one segment."""
-    balls = rows.select("doc_id", *columns, F.col("segments")[place].alias("segment"), F.explode(_ball()).alias("mask"))
-    return balls.select("doc_id", *columns, F.col("segment").bitwiseXOR(F.col("mask")).alias("key"))
+def _levels(docs: DataFrame, words: int) -> np.ndarray:
+    """For each cell how common its shingles are, as a power of two (a byte each, 4 MB whatever the input)."""
 
+    def run(batches):
+        seen = np.zeros(CELLS, np.int32)
+        for batch in (s for b in batches for s in slices(b, 0, _SLICE)):
+            for t in batch.column(0).to_pylist():
+                cells, n = np.unique(_cell(np.unique(shingle_hashes(t, words))), return_counts=True)
+                seen[cells] += n.astype(np.int32)
+        cells = np.flatnonzero(seen >= SEEN)
+        for a in range(0, len(cells), _BLOCK):
+            own = cells[a : a + _BLOCK]
+            yield pa.record_batch([pa.array(own.astype(np.int32)), pa.array(seen[own].astype(np.int64))], names=["cell", "n"])
+
+    met = docs.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    got = met.select("cell", F.log2("n").cast("int").alias("level")).toArrow()
+    out = np.zeros(CELLS, np.uint8)
+    out[got.column("cell").to_numpy()] = got.column("level").to_numpy()
+    return out
+
+
+def _prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """For each text with words: doc_id, size (of its set of shingles), whole (a hash of the set), segments (for each of
+    SKETCH classes of shingles, whether their number is odd) and keys: its first shingles, the rarest first.
+
+    Sets with a similarity of at least ``similarity`` share so many shingles that the first one they share, in any
+    order that is the same for all, is among the first size - ceil(similarity * size) + 1 of either.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(_levels(docs, words))
 
-def _first_candidates(rows: DataFrame) -> DataFrame:
-    """For every document the smallest ones that have one of its segments."""
-    parts = rows.select("doc_id", F.posexplode("segments").alias("place", "segment"))
-    least = parts.groupBy("place", "segment").agg(F.count("*").alias("n"), F.min("doc_id").alias("v")).filter("n > 1").drop("n")
-    return parts.join(least, ["place", "segment"]).filter("doc_id <> v").select(F.col("doc_id").alias("u"), "v").distinct()
-
-
-def _other_candidates(rows: DataFrame, place: int) -> DataFrame:
-    """Candidates of different classes: all pairs of short rows; in longer ones each member with the smallest, and the same once more among those that another segment deals together."""
-    star = lambda x: x.filter("class <> of_v").select(F.col("doc_id").alias("u"), "v")
-    pairs, long = _met(_balls(rows, place, "class"), ["key"])
-    inner = rows.select("doc_id", F.posexplode("segments").alias("other", "segment")).filter(F.col("other") != place)
-    again, rest = _met(long.select("doc_id", "class", "key").join(inner, "doc_id"), ["key", "other", "segment"])
-    return pairs.unionByName(again).unionByName(star(long)).unionByName(star(rest)).distinct()
-
+    def run(batches):
+        level = shared.value
+        for batch in (s for b in batches for s in slices(b, 1, _SLICE)):
+            sets = [np.unique(shingle_hashes(t, words)) for t in batch.column(1).to_pylist()]
+            places = [i for i, x in enumerate(sets) if len(x)]
+            if not places:
+                continue
+            sets = [sets[i] for i in places]
+            sketch, keys = np.zeros((len(sets), SKETCH), np.uint8), []
+            for i, x in enumerate(sets):
+                sketch[i] = np.bincount((x % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+                first = len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1
+                keys.append(x[np.argsort(level[_cell(x)], kind="stable")[:first]].view(np.int64))
+            bits = np.packbits(sketch, axis=1).view(">i4").astype(np.int32)
+            lists = lambda flat, ends: pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(flat))
+            yield pa.record_batch(
+                [batch.column(0).take(pa.array(places)), pa.array([len(x) for x in sets], pa.int32()), pa.array(np.array([xxhash.xxh64_intdigest(x.tobytes(), 7) for x in sets], np.uint64).view(np.int64)),
+                 lists(bits.reshape(-1), np.arange(1, len(sets) + 1) * (SKETCH // 32)), lists(np.concatenate(keys), np.cumsum([len(k) for k in keys]))],
+                names=["doc_id", "size", "whole", "segments", "keys"],
+            )
+
+    rows = docs.select(F.col("id").alias("doc_id"), "text")
+    out = stored(rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, size int, whole long, segments array<int>, keys array<long>"))
+    shared.destroy()
+    return out
+
+
+def _other_candidates(members: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """All pairs u > v of different classes that share a key, but those whose sizes, places of the key or sketches rule the similarity out.
+
+    A row of n members is cut into blocks by hash, and each two blocks are compared in a task's memory, so no row is too long.
+    """
+    met = members.join(known, "doc_id")
+    rows = met.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = met.join(rows, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    groups = dealt.groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.struct("doc_id", "class", "size", "pos", "block", "segments")).alias("all"))
+    need = similarity / (1 + similarity)
 
-def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, words: int, similarity: float, n: int) -> DataFrame:
-    """Those of pairs u, v whose complete distance is small enough and whose sets of shingles are similar."""
-    left = rows.select(F.col("doc_id").alias("u"), F.col("segments").alias("a"))
-    right = rows.select(F.col("doc_id").alias("v"), F.col("segments").alias("b"))
-    close = stored(pairs.join(left, "u").join(right, "v").filter(distance("a", "b", n) <= n * 32 // 5).select("u", "v"))
+    def run(batches):
+        for batch in batches:
+            ends = batch.column(2).offsets.to_numpy()
+            for k in range(batch.num_rows):
+                rows = batch.column(2).values.slice(ends[k], ends[k + 1] - ends[k])
+                size, pos, block = (rows.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("size", "pos", "block"))
+                of = rows.field("class").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+                prints = rows.field("segments").flatten().to_numpy(zero_copy_only=False).reshape(len(size), -1).view(np.uint64)
+                left, right = [], []
+                for a in range(len(size) - 1):
+                    ok = of[a + 1 :] != of[a]
+                    if batch.column(0)[k].as_py() != batch.column(1)[k].as_py():
+                        ok &= block[a + 1 :] != block[a]
+                    total = size[a + 1 :] + size[a]
+                    ok &= np.minimum(size[a + 1 :] - pos[a + 1 :], size[a] - pos[a]) >= need * total - 1e-9
+                    b = np.flatnonzero(ok)
+                    if len(b):
+                        apart = np.bitwise_count(prints[b + a + 1] ^ prints[a]).sum(axis=1, dtype=np.int64)
+                        b = b[apart <= (1 - 2 * need) * total[b] + 1e-9] + a + 1
+                        left.append(np.full(len(b), a))
+                        right.append(b)
+                if left:
+                    doc = rows.field("doc_id")
+                    yield pa.record_batch([doc.take(pa.array(np.concatenate(left))), doc.take(pa.array(np.concatenate(right)))], names=["a", "b"])
+
+    kind = known.schema["doc_id"].dataType.simpleString()
+    pairs = groups.select("i", "j", "all").mapInArrow(run, f"a {kind}, b {kind}")
+    return pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of pairs u, v whose sets of shingles are similar; sketches, which differ in at most as many bits as the sets in shingles, rule most others out."""
+    side = lambda doc, bits, size: rows.select(F.col("doc_id").alias(doc), F.col("segments").alias(bits), F.col("size").alias(size))
+    most = (1 - similarity) / (1 + similarity) * (F.col("m") + F.col("n")) + 1e-9
+    close = stored(pairs.join(side("u", "a", "m"), "u").join(side("v", "b", "n"), "v").filter(distance("a", "b", SKETCH // 32) <= most).select("u", "v"))
     ends = close.select(F.explode(F.array("u", "v")).alias("id"))
     met = with_hit(docs, filter_of(ends, "id"), "id").filter("_hit").select("id", "text")
 
@@ -202,29 +274,29 @@ def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, words: int, si
     return near
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 128) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id and component_id of every document that has a near duplicate; doc_id must be unique and not null.
 
     Two texts are near duplicates if their sets of five-word shingles have a Jaccard similarity
-    of at least ``similarity``. Candidates come from fingerprints over the distinct words (which a changed word
-    disturbs five times less than shingles): those that share an element of the ball about one of the segments
-    meet in a row, and each candidate is verified, by the complete distance and then by the shingles. First every
-    document is verified against the smallest that has one of its segments; then only candidates that are
-    not yet in one class, so a large group of near copies costs a few candidates a member. A row is
-    summed to its smallest before the shuffle, so its size does not matter. Of pairs at a similarity of exactly
-    0.8 about 98 % meet; the more alike, the surer. A text without words has no near duplicate.
+    of at least ``similarity``. Every such pair ends in one component: candidates are all that share one of the first
+    shingles (see _prefixes), and each is verified by the complete sets. First every document is verified against the
+    smallest of each of its rows, and against the smallest with an equal set, which stands for them from then on;
+    then only pairs of different classes, so a large group of near copies costs a few candidates a member. As the rarest
+    shingles come first, what a family of texts shares is a key only if it is most of them. A text without words has no near duplicate.
     """
-    n = bits // 32
     bare = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
-    rows = stored(fingerprints(docs, doc_id, text, 1, bits, distinct=True)).withColumn("blank", F.forall("segments", lambda x: x == 0)).filter("not blank")
+    rows = _prefixes(bare, words, similarity)
+    equal = rows.groupBy("whole", "size").agg(F.count("*").alias("n"), F.min("doc_id").alias("v")).filter("n > 1").drop("n")
+    copies = stored(rows.select("doc_id", "whole", "size").join(equal, ["whole", "size"]).filter("doc_id <> v").select(F.col("doc_id").alias("u"), "v"))
+    dealt = rows.join(copies.select(F.col("u").alias("doc_id")), "doc_id", "left_anti").select("doc_id", F.posexplode("keys").alias("pos", "key"))
+    least = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("v")).filter("n > 1").drop("n")
+    members = stored(dealt.join(least, "key"))
+    returned(docs.sparkSession)
 
-    first = _verified(_first_candidates(rows), rows, bare, words, similarity, n)
+    stars = members.filter("doc_id <> v").select(F.col("doc_id").alias("u"), "v").distinct()
+    first = _verified(stars.unionByName(copies), rows, bare, words, similarity)
     classes = components(first).select(F.col("node").alias("doc_id"), F.col("component").alias("class"))
-    known = stored(rows.join(classes, "doc_id", "left").select("doc_id", "segments", F.coalesce("class", "doc_id").alias("class")))
-    found = []
-    for place in range(n):  # a segment at a time: what one shuffles is given back before the next
-        found.append(stored(_other_candidates(known, place)))
-        returned(docs.sparkSession)
-    others = _verified(reduce(DataFrame.unionByName, found).distinct(), rows, bare, words, similarity, n)
+    known = stored(rows.join(classes, "doc_id", "left").select("doc_id", "size", "segments", F.coalesce("class", "doc_id").alias("class")))
+    others = _verified(stored(_other_candidates(members.drop("v"), known, similarity)), rows, bare, words, similarity)
     near = first.unionByName(others)
     return components(near).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))

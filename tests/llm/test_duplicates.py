@@ -130,3 +130,39 @@ def test_near_duplicates(spark):
     want = union_find({x for p in near for x in p}, near)
     assert sum(got.get(k) == v for k, v in want.items()) >= 0.97 * len(want)
     assert all(family[a] == family[b] for a, b in got.items())
+
+
+def brute_classes(texts):
+    """Components at a similarity of 0.8, by an inverted index over all shingles."""
+    sets = [set(shingle_hashes(t, 5).tolist()) for t in texts]
+    where = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            where.setdefault(x, []).append(i)
+    pairs = []
+    for i, s in enumerate(sets):
+        shared = Counter(j for x in s for j in where[x] if j < i)
+        pairs += [(i, j) for j, n in shared.items() if n >= 0.8 * (len(s) + len(sets[j]) - n) - 1e-9]
+    return union_find({x for p in pairs for x in p}, pairs)
+
+
+def found_classes(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    return {r["doc_id"]: r["component_id"] for r in near_duplicates(docs).collect()}
+
+
+def test_near_pairs_inside_a_template_family(spark):
+    g = np.random.default_rng(6)
+    template = [f"t{i}" for i in range(200)]
+    texts = []
+    for pair in range(1000):
+        base = list(template)
+        for at in g.choice(200, 10, replace=False):
+            base[at] = f"p{pair}x{at}"
+        for side in range(2):
+            own = list(base)
+            own[int(g.integers(0, 200))] = f"s{pair}y{side}"
+            texts.append(" ".join(own))
+    texts = [texts[i] for i in g.permutation(len(texts))]
+    want = brute_classes(texts)
+    assert len(want) > 1800 and found_classes(spark, texts) == want
