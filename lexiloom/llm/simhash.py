@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SALTS, filter_of, removed, returned, slices, stored, with_hit
+from .common import SALTS, filter_of, removed, returned, slices, stored, with_hit, without
 from .components import components
 
 #: Shingles whose bits are summed at a time.
@@ -145,7 +145,9 @@ def simhash_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 #: Cells in which shingles are counted; a task's share of a cell counts from SEEN on. Both only order the shingles: what is found does not depend on them.
 CELLS, SEEN = 1 << 22, 3
 #: Bits of a set's sketch, and members of a block of a long row: two blocks are compared at a time.
-SKETCH, BLOCK = 512, 256
+SKETCH, BLOCK = 1024, 256
+#: Parts of the candidate pairs, verified one after the other: what one shuffles is given back before the next.
+PARTS = 4
 
 
 def _cell(h: np.ndarray) -> np.ndarray:
@@ -209,12 +211,25 @@ def _prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     return out
 
 
+def _stars(members: DataFrame, order: Column, similarity: float) -> DataFrame:
+    """Each member of a row with the first of the row by some order, if of another class, and if sizes and the key's places allow the similarity."""
+    least = members.groupBy("key").agg(F.min(F.struct(order.alias("order"), "doc_id", "class", "size", "pos")).alias("least"))
+    fits = F.least(F.col("size") - F.col("pos"), F.expr("least.size - least.pos")) >= similarity / (1 + similarity) * (F.col("size") + F.col("least.size")) - 1e-9
+    return members.join(least, "key").filter(F.col("class") != F.col("least.class")).filter(fits).select(F.col("doc_id").alias("u"), F.col("least.doc_id").alias("v")).distinct()
+
+
+def _classes(rows: DataFrame, near: DataFrame) -> DataFrame:
+    """doc_id, size and segments of rows, and the smallest doc_id that is reachable (class)."""
+    classes = components(near).select(F.col("node").alias("doc_id"), F.col("component").alias("class"))
+    return stored(rows.join(classes, "doc_id", "left").select("doc_id", "size", "segments", F.coalesce("class", "doc_id").alias("class")))
+
+
 def _other_candidates(members: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
     """All pairs u > v of different classes that share a key, but those whose sizes, places of the key or sketches rule the similarity out.
 
     A row of n members is cut into blocks by hash, and each two blocks are compared in a task's memory, so no row is too long.
     """
-    met = members.join(known, "doc_id")
+    met = members.drop("size").join(known, "doc_id")
     rows = met.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     dealt = met.join(rows, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     groups = dealt.groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.struct("doc_id", "class", "size", "pos", "block", "segments")).alias("all"))
@@ -255,6 +270,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, words: int, si
     side = lambda doc, bits, size: rows.select(F.col("doc_id").alias(doc), F.col("segments").alias(bits), F.col("size").alias(size))
     most = (1 - similarity) / (1 + similarity) * (F.col("m") + F.col("n")) + 1e-9
     close = stored(pairs.join(side("u", "a", "m"), "u").join(side("v", "b", "n"), "v").filter(distance("a", "b", SKETCH // 32) <= most).select("u", "v"))
+    returned(docs.sparkSession)
     ends = close.select(F.explode(F.array("u", "v")).alias("id"))
     met = with_hit(docs, filter_of(ends, "id"), "id").filter("_hit").select("id", "text")
 
@@ -265,13 +281,16 @@ def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, words: int, si
             yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["id", "set"])
 
     sets = stored(met.mapInArrow(shingled, f"id {met.schema['id'].dataType.simpleString()}, set array<long>"))
-    both = close.join(sets.select(F.col("id").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("set").alias("b")), "v")
-    shared = both.withColumn("shared", F.size(F.array_intersect("a", "b")))
-    near = stored(shared.filter(F.col("shared") >= similarity * (F.size("a") + F.size("b") - F.col("shared")) - 1e-9).select("u", "v"))
+    near = []
+    for part in range(PARTS):
+        own = close.filter(F.pmod(F.xxhash64("u"), F.lit(PARTS)) == part)
+        both = own.join(sets.select(F.col("id").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("set").alias("b")), "v")
+        shared = both.withColumn("shared", F.size(F.array_intersect("a", "b")))
+        near.append(stored(shared.filter(F.col("shared") >= similarity * (F.size("a") + F.size("b") - F.col("shared")) - 1e-9).select("u", "v")))
+        returned(docs.sparkSession)
     removed(sets)
     removed(close)
-    returned(docs.sparkSession)
-    return near
+    return reduce(DataFrame.unionByName, near)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -281,22 +300,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     of at least ``similarity``. Every such pair ends in one component: candidates are all that share one of the first
     shingles (see _prefixes), and each is verified by the complete sets. First every document is verified against the
     smallest of each of its rows, and against the smallest with an equal set, which stands for them from then on;
-    then only pairs of different classes, so a large group of near copies costs a few candidates a member. As the rarest
+    then against a member of another class that differs from row to row, then all pairs that are still of different classes, so a large group of near copies costs a few candidates a member. As the rarest
     shingles come first, what a family of texts shares is a key only if it is most of them. A text without words has no near duplicate.
     """
     bare = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
-    rows = _prefixes(bare, words, similarity)
+    prefixes = _prefixes(bare, words, similarity)
+    rows = stored(prefixes.drop("keys"))
     equal = rows.groupBy("whole", "size").agg(F.count("*").alias("n"), F.min("doc_id").alias("v")).filter("n > 1").drop("n")
-    copies = stored(rows.select("doc_id", "whole", "size").join(equal, ["whole", "size"]).filter("doc_id <> v").select(F.col("doc_id").alias("u"), "v"))
-    dealt = rows.join(copies.select(F.col("u").alias("doc_id")), "doc_id", "left_anti").select("doc_id", F.posexplode("keys").alias("pos", "key"))
-    least = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("v")).filter("n > 1").drop("n")
-    members = stored(dealt.join(least, "key"))
+    copies = stored(rows.join(equal, ["whole", "size"]).filter("doc_id <> v").select(F.col("doc_id").alias("u"), "v"))
+    dealt = without(prefixes, copies.select(F.col("u").alias("doc_id")), "doc_id").select("doc_id", "size", F.posexplode("keys").alias("pos", "key"))
+    again = stored(dealt.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
+    returned(docs.sparkSession)
+    members = stored(with_hit(dealt, filter_of(again, "key"), "key").filter("_hit").drop("_hit").join(again, "key"))
+    removed(prefixes)
+    removed(again)
     returned(docs.sparkSession)
 
-    stars = members.filter("doc_id <> v").select(F.col("doc_id").alias("u"), "v").distinct()
-    first = _verified(stars.unionByName(copies), rows, bare, words, similarity)
-    classes = components(first).select(F.col("node").alias("doc_id"), F.col("component").alias("class"))
-    known = stored(rows.join(classes, "doc_id", "left").select("doc_id", "size", "segments", F.coalesce("class", "doc_id").alias("class")))
-    others = _verified(stored(_other_candidates(members.drop("v"), known, similarity)), rows, bare, words, similarity)
-    near = first.unionByName(others)
+    first = _verified(_stars(members.withColumn("class", F.col("doc_id")), F.col("doc_id"), similarity).unionByName(copies), rows, bare, words, similarity)
+    second = _verified(_stars(members.join(_classes(rows, first).select("doc_id", "class"), "doc_id"), F.xxhash64("key", "doc_id"), similarity), rows, bare, words, similarity)
+    near = first.unionByName(second)
+    others = _verified(stored(_other_candidates(members, _classes(rows, near), similarity)), rows, bare, words, similarity)
+    near = near.unionByName(others)
     return components(near).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))

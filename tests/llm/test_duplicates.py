@@ -166,3 +166,16 @@ def test_near_pairs_inside_a_template_family(spark):
     texts = [texts[i] for i in g.permutation(len(texts))]
     want = brute_classes(texts)
     assert len(want) > 1800 and found_classes(spark, texts) == want
+
+
+def test_near_pairs_by_blocks_and_of_short_texts(spark):
+    texts = []
+    for n in (6, 12, 30, 100, 300, 1000):  # words, and a block of new ones up to a similarity of 0.8
+        for k in range(40):
+            base = [f"w{n}x{k}y{i}" for i in range(n)]
+            new = [f"v{n}x{k}y{i}" for i in range(max(1, (n - 4) // 5 - k % 3))]
+            at = (n, 0, n // 2)[k % 3]
+            texts += [" ".join(base), " ".join(base[:at] + new + base[at:]), " ".join(base[len(new) :] if k % 2 else base[: n - len(new)])]
+        texts += [" ".join(base), " ".join(base)]  # equal sets
+    want = brute_classes(texts)
+    assert len(want) > 500 and found_classes(spark, texts) == want
