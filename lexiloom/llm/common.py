@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiloom.storage import shared_dir  # noqa: F401
+
 #: Rows of a key are spread over so many salts where one key may hold a third of all rows.
 SALTS = 256
 
@@ -17,19 +18,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors and the driver see. Only where that is unset (tests) a local one is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='lexiloom-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/lexiloom-{uuid.uuid4().hex}"
+@contextlib.contextmanager
+def _setting(spark: SparkSession, key: str, value: str):
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read again: lineage ends here, and lost executors cost nothing that is done."""
+    """Written to the shared folder and read again: lineage ends here, lost executors cost nothing that is done, and the shuffle files of what was written go at once."""
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    with _setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -42,10 +45,38 @@ def removed(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def returned(spark: SparkSession) -> None:
-    """Has Spark delete the shuffle files of plans that are done with; it does so when their objects are collected."""
+#: Bytes of an Arrow batch at most (a single row may be larger); a worker and its executor hold a few of them.
+ARROW_BYTES = 8 << 20
+
+
+def mapped(rows: DataFrame, work, schema) -> DataFrame:
+    """rows.mapInArrow(work, schema) over batches of at most ARROW_BYTES; a worker gives memory back when a task ends, as it lives on for others.
+
+    The bound is the session's setting for Arrow batches, which is lowered if it is higher, since a plan reads it when it runs.
+    """
+    spark = rows.sparkSession
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > ARROW_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            _trimmed()
+
+    return rows.mapInArrow(run, schema)
+
+
+def _trimmed() -> None:
+    """Gives free memory back to the system, where its C library can."""
+    import ctypes
+
+    import pyarrow as pa
+
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def remainder(doc_id: str, modulus: int) -> Column:

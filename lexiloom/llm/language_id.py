@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import mapped
+
 #: Bytes of a window, and of the largest filter less one: neighbours share so many bytes.
 WINDOW, WIDTHS, FILTERS, EMBEDDED = 256, (2, 3, 4, 5), (8, 12, 12, 12), 8
 _LAP = max(WIDTHS) - 1
@@ -171,4 +173,4 @@ def predict_languages(docs: DataFrame, net: ByteNetwork, doc_id: str = "doc_id",
     schema = T.StructType([f for f in rows.schema if f.name != "text"])
     for name, kind in [("lang_pred", "string"), ("score", "double")]:
         schema.add(name, kind)
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema)

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
 from .fst_tokenizer import compiled
 
 
@@ -69,7 +70,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    pieces = rows.mapInArrow(run, f"doc_id {kind}, start long, length long, tokens binary, doc_tokens long")
+    pieces = mapped(rows, run, f"doc_id {kind}, start long, length long, tokens binary, doc_tokens long")
     return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"), "bucket": F.log2("length").cast("int")})
 
 

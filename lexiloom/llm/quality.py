@@ -10,16 +10,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import mapped
+
 #: The statistics of a text, in order.
 STATISTICS = (
     "log_bytes", "log_words", "word_bytes", "letters", "upper", "digits", "spaces", "lines", "high_bytes",
     "commas", "stops", "exclamations", "pipes", "stars", "dollars", "hashes", "percents", "amps", "other_marks",
     "distinct_words", "top_word", "long_words", "words_with_marks", "distinct_lines", "top_line", "line_bytes", "short_lines", "upper_words", "repeated_pairs",
 )
+#: What the text is called on its way, so that kept columns of any name stand beside it.
+_TEXT = "_the_text"
 _MARKS = [ord(c) for c in ",.!|*$#%&"]
 _ASCII_MARKS = [b for b in range(33, 127) if not chr(b).isalnum()]
 
@@ -133,7 +138,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
             x = statistics(batch.column(1).to_pylist())
             yield pa.record_batch([batch.column(0), pa.array(list(x), pa.list_(pa.float32()))], names=["label", "x"])
 
-    got = rows.mapInArrow(work, "label int, x array<float>").toPandas()
+    got = mapped(rows, work, "label int, x array<float>").toPandas()
     if not len(got):
         return grow(np.zeros((0, len(STATISTICS)), np.float32), np.zeros(0))
     x, y = np.stack(got["x"].to_list()).astype(np.float32), got["label"].to_numpy()
@@ -141,22 +146,35 @@ def fit_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
     return grow(x[order], y[order].astype(float))
 
 
-def quality_scores(docs: DataFrame, forest: Forest, doc_id: str = "doc_id", text: str = "text", keep: dict[str, Column] | None = None, threshold: float = 0.3) -> DataFrame:
-    """doc_id, the keep expressions, score (0 to 1, higher: label 1 likelier) and predicted (1 from the threshold on) of every row.
+def rated(docs: DataFrame, forest: Forest, text: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The columns of docs, then score (0 to 1, higher: label 1 likelier) and predicted (1 from the threshold on); columns of docs so named are replaced.
 
-    Null and empty texts have statistics of zero and a score like any other. One pass without a shuffle.
+    text may be a field of a struct column (``doc.text``), so that a whole row passes with one copy of its text. Null and empty
+    texts have statistics of zero and a score like any other; a text of any length is read whole. Repeated rows stay as they are, an empty table gives an
+    empty one. One pass without a shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(forest)
-    more = keep or {}
-    names = ["doc_id", *more]
+    names = [c for c in docs.columns if c not in ("score", "predicted")]
+    top, *inner = [text] if text in names else text.split(".")
+    at = names.index(top)
 
     def work(batches):
         for batch in batches:
-            s = shared.value.scores(statistics(batch.column(1).to_pylist()))
-            yield pa.record_batch([batch.column(0), *batch.columns[2:], pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
-
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), *[c.alias(k) for k, c in more.items()])
-    schema = T.StructType([f for f in rows.schema if f.name != "text"])
-    for name, kind in [("score", "double"), ("predicted", "integer")]:
-        schema.add(name, kind)
-    return rows.mapInArrow(work, schema)
+            column = batch.column(at)
+            for name in inner:
+                column = pc.struct_field(column, name)
+            s = shared.value.scores(statistics(column.to_pylist()))
+            yield pa.record_batch([*batch.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
+
+    rows = docs.select(*[F.col(f"`{c}`") for c in names])
+    return mapped(rows, work, T.StructType([*rows.schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+
+
+def quality_scores(docs: DataFrame, forest: Forest, doc_id: str = "doc_id", text: str = "text", keep: dict[str, Column] | None = None, threshold: float = 0.3) -> DataFrame:
+    """doc_id, the keep expressions, score (0 to 1, higher: label 1 likelier) and predicted (1 from the threshold on) of every row.
+
+    Cases are those of ``rated``, which does the work; null ids pass through.
+    """
+    more = keep or {}
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias(_TEXT), *[c.alias(k) for k, c in more.items()])
+    return rated(rows, forest, _TEXT, threshold).select("doc_id", *[f"`{k}`" for k in more], "score", "predicted")

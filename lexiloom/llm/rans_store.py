@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import removed, stored
+from .common import mapped, removed, stored
 from .fst_tokenizer import compiled
 from .packing import with_end
 
@@ -185,8 +185,8 @@ def write_ids(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "t
         yield pa.record_batch([pa.array(own), pa.array(total[own])], names=["id", "n"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    ids = stored(rows.mapInArrow(tokenised, "doc_id long, ids binary"))
-    counts = ids.select("ids").mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    ids = stored(mapped(rows, tokenised, "doc_id long, ids binary"))
+    counts = mapped(ids.select("ids"), counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     counts = counts.coalesce(1)
     counts.write.parquet(f"{path}/table")
     shared = spark.sparkContext.broadcast(read_table(spark, path))
@@ -233,7 +233,7 @@ def write_ids(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "t
 
     order = ["doc_id", F.octet_length("ids"), F.xxhash64("ids")]
     dealt = ids.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    dealt.mapInArrow(coded, "part int, block int, before long, tokens long, payload binary").write.parquet(f"{path}/blocks")
+    mapped(dealt, coded, "part int, block int, before long, tokens long, payload binary").write.parquet(f"{path}/blocks")
     removed(ids)
 
 
@@ -271,7 +271,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.record_batch([pa.array(docs["doc_id"], mask=docs["null"] != 0), pa.array(start), pa.array(docs["before"].astype(np.int64)), pa.array(here), pa.array((docs["before"] == 0) & (docs["last"] != 0)), binary], names=["doc_id", "start", "first", "here", "whole", "ids"])
 
     placed = blocks.join(offsets, "part").select((F.col("before") + F.col("offset")).alias("before"), "payload")
-    pieces = placed.mapInArrow(decoded, "doc_id long, start long, first long, here long, whole boolean, ids binary")
+    pieces = mapped(placed, decoded, "doc_id long, start long, first long, here long, whole boolean, ids binary")
     whole = pieces.filter("whole").select("doc_id", "start", F.col("here").alias("n_tokens"), "ids")
     cut = pieces.filter("not whole").groupBy("start").agg(F.first("doc_id").alias("doc_id"), F.sum("here").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("first", "ids"))).alias("all"))
     cut = cut.select("doc_id", "start", "n_tokens", F.aggregate("all", F.lit(b""), lambda x, y: F.concat(x, y["ids"])).alias("ids"))

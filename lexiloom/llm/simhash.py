@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SALTS, filter_of, removed, returned, slices, stored, with_hit, without
+from .common import SALTS, filter_of, mapped, removed, slices, stored, with_hit, without
 from .components import components
 
 #: Shingles whose bits are summed at a time.
@@ -85,7 +85,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
             yield pa.record_batch([batch.column(0), lists], names=["doc_id", "segments"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, segments array<int>")
+    return mapped(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, segments array<int>")
 
 
 def distance(a: str, b: str, segments: int) -> Column:
@@ -168,7 +168,7 @@ def _levels(docs: DataFrame, words: int) -> np.ndarray:
             own = cells[a : a + _BLOCK]
             yield pa.record_batch([pa.array(own.astype(np.int32)), pa.array(seen[own].astype(np.int64))], names=["cell", "n"])
 
-    met = docs.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    met = mapped(docs.select("text"), run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     got = met.select("cell", F.log2("n").cast("int").alias("level")).toArrow()
     out = np.zeros(CELLS, np.uint8)
     out[got.column("cell").to_numpy()] = got.column("level").to_numpy()
@@ -206,7 +206,7 @@ def _prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
             )
 
     rows = docs.select(F.col("id").alias("doc_id"), "text")
-    out = stored(rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, size int, whole long, segments array<int>, keys array<long>"))
+    out = stored(mapped(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, size int, whole long, segments array<int>, keys array<long>"))
     shared.destroy()
     return out
 
@@ -261,7 +261,7 @@ def _other_candidates(members: DataFrame, known: DataFrame, similarity: float) -
                     yield pa.record_batch([doc.take(pa.array(np.concatenate(left))), doc.take(pa.array(np.concatenate(right)))], names=["a", "b"])
 
     kind = known.schema["doc_id"].dataType.simpleString()
-    pairs = groups.select("i", "j", "all").mapInArrow(run, f"a {kind}, b {kind}")
+    pairs = mapped(groups.select("i", "j", "all"), run, f"a {kind}, b {kind}")
     return pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 
 
@@ -270,7 +270,6 @@ def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, words: int, si
     side = lambda doc, bits, size: rows.select(F.col("doc_id").alias(doc), F.col("segments").alias(bits), F.col("size").alias(size))
     most = (1 - similarity) / (1 + similarity) * (F.col("m") + F.col("n")) + 1e-9
     close = stored(pairs.join(side("u", "a", "m"), "u").join(side("v", "b", "n"), "v").filter(distance("a", "b", SKETCH // 32) <= most).select("u", "v"))
-    returned(docs.sparkSession)
     ends = close.select(F.explode(F.array("u", "v")).alias("id"))
     met = with_hit(docs, filter_of(ends, "id"), "id").filter("_hit").select("id", "text")
 
@@ -280,14 +279,13 @@ def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, words: int, si
             ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
             yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["id", "set"])
 
-    sets = stored(met.mapInArrow(shingled, f"id {met.schema['id'].dataType.simpleString()}, set array<long>"))
+    sets = stored(mapped(met, shingled, f"id {met.schema['id'].dataType.simpleString()}, set array<long>"))
     near = []
     for part in range(PARTS):
         own = close.filter(F.pmod(F.xxhash64("u"), F.lit(PARTS)) == part)
         both = own.join(sets.select(F.col("id").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("set").alias("b")), "v")
         shared = both.withColumn("shared", F.size(F.array_intersect("a", "b")))
         near.append(stored(shared.filter(F.col("shared") >= similarity * (F.size("a") + F.size("b") - F.col("shared")) - 1e-9).select("u", "v")))
-        returned(docs.sparkSession)
     removed(sets)
     removed(close)
     return reduce(DataFrame.unionByName, near)
@@ -310,11 +308,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     copies = stored(rows.join(equal, ["whole", "size"]).filter("doc_id <> v").select(F.col("doc_id").alias("u"), "v"))
     dealt = without(prefixes, copies.select(F.col("u").alias("doc_id")), "doc_id").select("doc_id", "size", F.posexplode("keys").alias("pos", "key"))
     again = stored(dealt.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
-    returned(docs.sparkSession)
     members = stored(with_hit(dealt, filter_of(again, "key"), "key").filter("_hit").drop("_hit").join(again, "key"))
     removed(prefixes)
     removed(again)
-    returned(docs.sparkSession)
 
     first = _verified(_stars(members.withColumn("class", F.col("doc_id")), F.col("doc_id"), similarity).unionByName(copies), rows, bare, words, similarity)
     second = _verified(_stars(members.join(_classes(rows, first).select("doc_id", "class"), "doc_id"), F.xxhash64("key", "doc_id"), similarity), rows, bare, words, similarity)

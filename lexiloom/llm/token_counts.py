@@ -8,6 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
 from .fst_tokenizer import compiled
 
 
@@ -30,4 +31,4 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vo
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return mapped(rows, run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")

@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lexiloom.llm.decontaminate import find_items, myers, normal, pieces_of
+from lexiloom.llm.decontaminate import budget, find_items, myers, normal, pieces_of
 from lexiloom.llm.url_filter import filter_urls, host_of, intervals, keys_of
 
 
@@ -43,7 +43,7 @@ def test_items_are_found_with_edits(spark, awkward, empty):
     docs.append((60, "nothing to be found here"))
     table = spark.createDataFrame(items, "item_id long, text string")
     rows = spark.createDataFrame(docs, "doc_id long, text string")
-    for cut in (2_000_000, 500):
+    for cut in (2_000_000, 1500, 500):  # one block, some, and more than are searched at a time
         got = {x["doc_id"]: {h["item_id"]: h["distance"] for h in x["hits"]} for x in find_items(rows, table, cut=cut).collect()}
         for k, t in docs:
             want = {}
@@ -58,6 +58,17 @@ def test_items_are_found_with_edits(spark, awkward, empty):
     assert set(find_items(awkward, table).columns) == set(awkward.columns)
 
 
+def test_benchmarks_that_differ_only_in_the_middle(spark):
+    docs = spark.createDataFrame([(1, "the second of the long items is here in full")], "doc_id long, text string").coalesce(1)
+    for middle, want in (("something else entirely that nobody has", []), ("second of the long items is here", [2])):
+        items = spark.createDataFrame([(1, "first item of a benchmark"), (2, middle), (3, "last item of a benchmark")], "item_id long, text string")
+        assert [h["item_id"] for h in find_items(docs, items).first()["hits"]] == want
+
+
+def test_short_items_have_their_whole_budget():
+    assert all(budget("x" * n, 0.06) == int(n * 0.06) for n in range(3000))
+
+
 def test_urls(spark, empty):
     urls = {"https://User@WWW.Example.com.:80/a/b/c.html?q#f": "www.example.com", "http://x.org": "x.org", "no url": "", None: ""}
     rows = spark.createDataFrame([(u,) for u in urls], "url string").select("url", host_of(F.col("url")).alias("h"), keys_of(F.col("url")).alias("k")).collect()
