@@ -84,6 +84,11 @@ def remainder(doc_id: str, modulus: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % modulus
 
 
+def held(doc_id: str, modulus: int, left: int) -> Column:
+    """Whether a document is held out by that remainder; a null id is not."""
+    return F.coalesce(remainder(doc_id, modulus) == left, F.lit(False))
+
+
 def slices(batch, column: int, size: int = 3_000_000):
     """An Arrow batch in parts of about so many bytes of a text column, so that what a worker makes of them stays small."""
     import numpy as np

@@ -73,7 +73,8 @@ class CompiledTokenizer:
         self.vocab = {symbols(t): i for t, i in model["vocab"].items() if all(c in chars for c in t)}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.rank = {(symbols(a), symbols(b)): k for k, (a, b) in reversed(list(enumerate(pairs)))}
-        self._library = Tokenizer.from_file(path).pre_tokenizer
+        library = Tokenizer.from_file(path)
+        self._library, self._normalizer = library.pre_tokenizer, library.normalizer
         self._kinds = np.full(0x110000, _UNSEEN, np.uint8)
         self._arrange()
         self._flush()
@@ -342,8 +343,9 @@ class CompiledTokenizer:
         if not self.word_style:
             return text
         if not text.isascii():
-            if not unicodedata.is_normalized("NFC", text):
-                text = unicodedata.normalize("NFC", text)
+            # Versions of Unicode differ in what has a lower case and in what NFC moves or composes: such texts are left to the file's own normaliser.
+            if not unicodedata.is_normalized("NFC", text) or _unassigned().search(text):
+                return self._normalizer.normalize_str(text)
             text = text.replace("Σ", "σ")
         return text.lower()
 
@@ -442,6 +444,15 @@ class CompiledTokenizer:
         return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
 
 
+@functools.lru_cache(1)
+def _unassigned() -> re.Pattern:
+    """Code points without a category in Python's Unicode version."""
+    none = [c for c in range(0x80, 0x110000) if unicodedata.category(chr(c)) == "Cn"]
+    starts = [c for c, before in zip(none, [-1, *none]) if c != before + 1]
+    ends = [c for c, after in zip(none, [*none[1:], -1]) if c + 1 != after]
+    return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends)) + "]")
+
+
 @functools.lru_cache(4)
 def compiled(name: str, max_states: int = 150_000) -> CompiledTokenizer:
     """One machine a worker process and vocabulary."""

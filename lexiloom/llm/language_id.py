@@ -7,6 +7,7 @@ network in batches, and a text's prediction is the mean of its windows' probabil
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mapped
+from .common import mapped, slices
 
 #: Bytes of a window, and of the largest filter less one: neighbours share so many bytes.
 WINDOW, WIDTHS, FILTERS, EMBEDDED = 256, (2, 3, 4, 5), (8, 12, 12, 12), 8
@@ -73,8 +74,8 @@ def windows_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, owner, np.minimum(sizes[owner] - k * step, step).clip(1)
 
 
-def train(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 4e-3, seed: int = 7, windows_a_text: int = 4) -> ByteNetwork:
-    """Adam on the cross entropy of single windows. Deterministic; texts of a rarer label weigh more."""
+def train(windows: np.ndarray, labels: list[str], epochs: int = 6, rate: float = 4e-3, seed: int = 7) -> ByteNetwork:
+    """Adam on the cross entropy of single windows. Deterministic; windows of a rarer label weigh more."""
     rng = np.random.default_rng(seed)
     names = sorted(set(labels))
     width, total = max(WIDTHS), sum(FILTERS)
@@ -84,9 +85,7 @@ def train(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 4e
     mask = mask.reshape(width * EMBEDDED, total)
     net = ByteNetwork(names, rng.normal(0, 0.5, (256, EMBEDDED)).astype(np.float32), (rng.normal(0, 0.3, mask.shape) * mask).astype(np.float32), np.zeros(total, np.float32), rng.normal(0, 0.1, (total, len(names))).astype(np.float32), np.zeros(len(names), np.float32))
     net.embedding[0] = 0
-    windows, owner, _ = windows_of(texts)
-    keep = np.concatenate([rng.permutation(np.flatnonzero(owner == i))[:windows_a_text] for i in range(len(texts))]) if len(texts) else np.zeros(0, int)
-    windows, target = windows[keep], np.array([names.index(x) for x in labels])[owner[keep]]
+    target = np.array([names.index(x) for x in labels])
     share = np.bincount(target, minlength=len(names)) / max(1, len(target))
     weight = (1 / (len(names) * np.maximum(share, 1e-9)))[target].clip(0.2, 5).astype(np.float32)
     params = ["embedding", "filters", "bias", "weights", "offset"]
@@ -122,23 +121,41 @@ def train(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 4e
     return net
 
 
-def fit_languages(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", a_label: int = 400, max_labels: int = 64) -> ByteNetwork:
-    """Fits on at most a_label rows of each of the max_labels most frequent labels (by hash of the key, so the choice is the same in every run) and of each at most its first 4,096 characters; null labels, and texts without a letter, are left out."""
-    rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.substring(F.col(text), 1, 4096).alias("text"), F.xxhash64(F.col(key)).alias("order"))
-    names = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_labels).collect()]
-    picked = []
-    for name in names:  # a top-k each: no label's rows meet in one task
-        picked += rows.filter(F.col("lang") == name).orderBy("order", "text").limit(a_label).collect()
-    if not picked:
+def fit_languages(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", a_label: int = 400, windows_a_text: int = 4) -> ByteNetwork:
+    """Fits on about a_label texts of each label and windows_a_text windows of each, drawn from the whole text.
+
+    Which texts and windows is settled by hashes of key and text, so the choice is the same in every run. One scan counts the labels, one picks the texts:
+    a label's texts are those whose hash lies below a threshold that its count gives; only the windows (256 bytes each) come to the driver. All labels are learnt. Null
+    labels, and texts that are null or have no letter, are left out; repeated rows count as often as they occur; with an empty table nothing is learnt.
+    """
+    rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.col(key).alias("key"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = labelled.sparkSession.createDataFrame(counts.collect(), "lang string, n long")  # a row a label
+    spot = F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    picked = rows.join(counts, "lang").filter(spot * F.col("n") < a_label).select("lang", "text")
+
+    def cut(batches):
+        for batch in (s for b in batches for s in slices(b, 1)):
+            labels, out = [], []
+            for label, t in zip(*(c.to_pylist() for c in batch.columns)):
+                own = windows_of([t])[0]
+                at = np.random.default_rng(zlib.crc32(t.encode())).permutation(len(own))[:windows_a_text]
+                labels += [label] * len(at)
+                out += [own[i].tobytes() for i in at]
+            yield pa.record_batch([pa.array(labels, pa.string()), pa.array(out, pa.binary())], names=["lang", "window"])
+
+    got = mapped(picked, cut, "lang string, window binary").toPandas().sort_values(["lang", "window"])
+    if not len(got):
         return ByteNetwork([], *[np.zeros(0)] * 5)
-    return train([r["text"] for r in picked], [r["lang"] for r in picked])
+    return train(np.frombuffer(b"".join(got["window"]), np.uint8).reshape(len(got), WINDOW), got["lang"].tolist())
 
 
 def predict_languages(docs: DataFrame, net: ByteNetwork, doc_id: str = "doc_id", text: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
     """doc_id, the keep expressions, lang_pred and score (its probability, 0 to 1) of every row.
 
-    A text that is null or has no letter is ``und`` with score 1; if nothing was learnt, every text is ``und`` with score 0.
-    The network (some KB) is broadcast; one pass without a shuffle; the whole text is read.
+    A text that is null or has no letter is ``und`` with score 1; if nothing was learnt, every other text is ``und`` with score 0.
+    The network (some KB) is broadcast; one pass without a shuffle; a text of any length is read whole, some 2 MB at a time. Repeated rows and null ids
+    pass through, an empty table gives an empty one; keep may have any names but those of the result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
     more = keep or {}
@@ -169,8 +186,8 @@ def predict_languages(docs: DataFrame, net: ByteNetwork, doc_id: str = "doc_id",
                 a = b
             yield pa.record_batch([batch.column(0), *batch.columns[2:], pa.array(lang), pa.array(score)], names=[*names, "lang_pred", "score"])
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), *[c.alias(k) for k, c in more.items()])
-    schema = T.StructType([f for f in rows.schema if f.name != "text"])
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("_the_text"), *[c.alias(k) for k, c in more.items()])
+    schema = T.StructType([f for f in rows.schema if f.name != "_the_text"])
     for name, kind in [("lang_pred", "string"), ("score", "double")]:
         schema.add(name, kind)
     return mapped(rows, run, schema)

@@ -7,44 +7,50 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder, table
+from .common import held, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in pieces of powers of two, with the bucket (log2 of the length) that each piece goes to. Null and empty texts are one piece, the end id."""
     from .packing import pack
 
-    return pack(table(spark, sf_dir, "documents")).select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pack(table(spark, sf_dir, "documents")).select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learnt from the documents that are not held out, applied to all. A null doc_id is not held out; a null lang teaches nothing."""
     from .language_id import fit_languages, predict_languages
 
     docs = table(spark, sf_dir, "documents")
-    held_out = remainder("doc_id", 4) == 2
+    held_out = held("doc_id", 4, 2)
     return predict_languages(docs, fit_languages(docs.filter(~held_out)), keep={"held_out": held_out})
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learnt from the labels of documents that are not held out, applied to all. A null doc_id is not held out and has no label."""
     from .quality import fit_quality, quality_scores
 
     docs = table(spark, sf_dir, "documents")
-    held_out = remainder("doc_id", 5) == 0
+    held_out = held("doc_id", 5, 0)
     return quality_scores(docs, fit_quality(docs, table(spark, sf_dir, "labels").filter(~held_out)), keep={"held_out": held_out})
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document; null and empty texts have none."""
     from .token_counts import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the row of its group that stays and the hash of its normalised text."""
     from .exact_dedup import exact_dedup, normal_text
 
     return exact_dedup(table(spark, sf_dir, "documents"), carry={"text_sha256": F.sha2(normal_text(F.col("text")), 256)})
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the benchmark items in it (item_ids) and the least distance at which one occurs; none for null and empty texts."""
     from .decontaminate import find_items
 
     found = find_items(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
@@ -52,6 +58,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the ids of all documents to a new folder of the shared one and reads them back; a null text is the end id alone, a null doc_id comes first."""
     from .common import shared_dir
     from .rans_store import read_ids, write_ids
 
@@ -61,6 +68,7 @@ def op7_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and component; texts without words have the fingerprint zero."""
     from .simhash import simhash_classes
 
     rows = simhash_classes(table(spark, sf_dir, "documents"))
@@ -68,10 +76,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learnt from the documents that are not held out, applied to all. A null doc_id is not held out."""
     from .bloom_lm import score_texts
 
     docs = table(spark, sf_dir, "documents")
-    held_out = remainder("doc_id", 7) == 2
+    held_out = held("doc_id", 7, 2)
     return score_texts(docs, docs.filter(~held_out), keep={"held_out": held_out})
 
 

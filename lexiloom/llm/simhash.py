@@ -1,8 +1,7 @@
 """SimHash near-duplicates through multi-index hashing.
 
-A fingerprint is cut into 32-bit segments. Around each segment the ball of radius 1 is
-enumerated, so two fingerprints whose segments differ in at most two bits meet in a table row;
-complete distances are then verified. Near duplicates by the similarity of their shingles take the first shingles of each
+A fingerprint is cut into segments, each with a table of its own. Small balls about the segments are
+looked up in the tables, and complete distances of what is met there are verified. Near duplicates by the similarity of their shingles take the first shingles of each
 set instead (prefix filtering), which loses no pair.
 """
 
@@ -93,38 +92,89 @@ def distance(a: str, b: str, segments: int) -> Column:
     return reduce(lambda x, y: x + y, [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i]).cast("long").bitwiseAND(0xFFFFFFFF)) for i in range(segments)])
 
 
-def _ball() -> Column:
-    """The 33 masks of weight 0 or 1."""
-    return F.array(F.lit(0), *[F.lit(1 << i if i < 31 else -(1 << 31)) for i in range(32)])
+#: Members of a table row that are compared with each other; longer rows are dealt again by the segments of what is left of a fingerprint.
+ROW = 256
+
+
+def _dealt(rows: DataFrame, width: int, radius: int) -> DataFrame:
+    """The rows (fp, key, rest) of two tables, one for each half (segment) of the ``width`` bits of rest, key telling them apart.
+
+    Of two values within ``radius`` bits either the first halves are within radius - 1 or the second ones are equal. So the first table is asked with
+    the ball of radius 1 about the first half, the second with the half itself. Of two halves that differ in one bit, one has it set: it is enough that
+    each asks with its set bits cleared, one at a time.
+    """
+    half = width // 2
+    low = F.col("rest").bitwiseAND((1 << half) - 1)
+    high = F.shiftrightunsigned("rest", half)
+    ball = F.array(high)
+    if radius > 1:
+        bits = F.array(*[F.lit(1 << i).cast("long") for i in range(half)])
+        ball = F.concat(ball, F.transform(F.filter(bits, lambda b: high.bitwiseAND(b) != 0), lambda b: high.bitwiseXOR(b)))
+    first = rows.select("fp", "key", low.alias("open"), F.explode(ball).alias("value")).select("fp", F.xxhash64("key", F.lit(0), "value").alias("key"), F.col("open").alias("rest"))
+    return first.unionByName(rows.select("fp", F.xxhash64("key", F.lit(1), low).alias("key"), high.alias("rest")))
+
+
+def forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Links (indices) between some distinct 64-bit values that reach what all their links of at most radius bits reach: complete distances, one value against all behind it at a time."""
+    up = list(range(len(prints)))
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    out = []
+    for a in range(len(prints) - 1):
+        for b in np.flatnonzero(np.bitwise_count(prints[a + 1 :] ^ prints[a]) <= radius) + a + 1:
+            x, y = top(a), top(int(b))
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                out.append((int(b), a))
+    return out
 
 
 def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     """Links u, v between distinct 64-bit fingerprints (column fp, long) that keep its classes: fingerprints are reachable from each other through these links as through all links of at most radius bits. radius: up to 2.
 
-    The table has a row for every element of the ball about either segment, beside the other
-    segment as it is. Two fingerprints differ in at most two bits if and only if they share a
-    row, all members of a row are linked to each other, and a row has at most 65 members: so a row's
-    members are linked to its smallest, and no group grows with the data, however many near copies there are.
+    Multi-index hashing: a table a segment of 32 bits, asked with small balls about the segment (see _dealt); whatever meets in a table row is
+    verified by its complete distance, and of a row's links a spanning forest is returned. No group grows with the data: a row of more than ROW members is
+    dealt again by the segments of the half that it leaves open, and at last by those of 8 bits, where rows have what 8 bits and three balls allow.
+    Only rows of two members or more are shuffled beyond their count.
     """
     if not 0 <= radius <= 2:
         raise ValueError("radius must be 0, 1 or 2")
-    high, low = F.shiftright("fp", 32).cast("int"), F.col("fp").bitwiseAND(0xFFFFFFFF)
-    rows = prints.select("fp", high.alias("high"), low.alias("low"), F.explode(_ball()).alias("mask"))
-    key = lambda a, b: F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long").bitwiseAND(0xFFFFFFFF))
-    met = rows.select("fp", key(F.col("high").bitwiseXOR(F.col("mask")), F.col("low")).alias("key"))
-    met = met.unionByName(rows.filter("mask <> 0").select("fp", key(F.col("high"), F.col("low").bitwiseXOR(F.col("mask").cast("long"))).alias("key")))
-    groups = met.groupBy("key").agg(F.collect_list("fp").alias("all")).filter(F.size("all") > 1)
-    pairs = groups.select(F.array_min("all").alias("v"), F.explode("all").alias("u")).filter("u <> v")
-    if radius < 2:  # smaller balls: members of a row are not all linked, so each pair of its few members is looked at
-        pairs = groups.select("all", F.explode("all").alias("u")).select("u", F.explode("all").alias("v")).filter("u > v")
-    return pairs.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius).distinct()
+    rows, found = prints.select("fp", F.lit(0).cast("long").alias("key"), F.col("fp").alias("rest")), [prints.select(F.col("fp").alias("u"), F.col("fp").alias("v")).limit(0)]
+
+    def verified(batches):
+        for batch in batches:
+            lists = batch.column(0)
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            u, v = [], []
+            for a, b in zip(ends, ends[1:]):
+                own = np.unique(flat[a:b])  # a collision of keys may bring a fingerprint twice
+                near = forest(own.view(np.uint64), radius)
+                u += [own[x] for x, _ in near]
+                v += [own[y] for _, y in near]
+            yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    for width in (64, 32, 16) if radius else ():
+        met = _dealt(rows, width, radius)
+        sizes = stored(met.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+        members = stored(with_hit(met, filter_of(sizes, "key"), "key").filter("_hit").drop("_hit").join(sizes, "key"))
+        short = members if width == 16 else members.filter(F.col("n") <= ROW)
+        found.append(stored(mapped(short.groupBy("key").agg(F.collect_list("fp").alias("all")).select("all"), verified, "u long, v long")))
+        rows = members.filter(F.col("n") > ROW).select("fp", "key", "rest")
+        if (sizes.agg(F.max("n")).first()[0] or 0) <= ROW:
+            break
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def simhash_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
     """One row per document: doc_id, fp (64-bit fingerprint, long), component_id: the smallest doc_id reachable through links.
 
     Null, empty and blank texts have the fingerprint 0 and are linked like any other. Null
-    doc_ids are rows, but no component_id unless a component has nothing else. Repeated rows are kept. Only distinct
+    doc_ids are rows, but no component_id; a component of nothing else has none. Repeated rows are kept, an empty table gives an empty one, texts of any length are read whole. Only distinct
     fingerprints are linked; sums and joins over one fingerprint's rows are spread over SALTS.
     """
     prints = fingerprints(docs, doc_id, text, words)

@@ -25,30 +25,36 @@ def intervals(changes: DataFrame) -> DataFrame:
     """entry, since, until (exclusive; null: open) from changes: entry, action (``add`` or ``remove``), day.
 
     The last change of an entry up to a day holds; of several on one day a removal wins. Repeated
-    additions continue an interval as one that touches it. Entries and days that are null are left out.
+    additions continue an interval as one that touches it. Entries and days that are null, and other actions, are left out.
     """
-    clean = changes.filter("entry is not null and day is not null").groupBy("entry", "day").agg(F.max("action").alias("action"))
+    clean = changes.filter("entry is not null and day is not null and action in ('add', 'remove')").groupBy("entry", "day").agg(F.max("action").alias("action"))
     following = F.lead("day").over(W.partitionBy("entry").orderBy("day"))
     return clean.withColumn("until", following).filter("action = 'add'").select("entry", F.col("day").alias("since"), "until")
 
 
-def keys_of(url: Column) -> Column:
-    """What an entry may be to match a URL: the host, each parent domain of two or more labels, and the host with each leading part of the path up to a slash."""
-    host = host_of(url)
+def keys_of(url: Column, labels: Column | None = None, depth: Column | None = None) -> Column:
+    """What an entry may be to match a URL: the host, each parent domain of two or more labels, and the host with each leading part of the path up to a slash.
+
+    labels and depth: the most labels and slashes that an entry has; longer keys than those match nothing and are not made, which keeps the
+    keys of a URL with very many dots or slashes short.
+    """
+    host, most = host_of(url), labels
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    domains = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, n), "."))
+    last = F.greatest(n - 1, F.lit(1))
+    first = F.lit(1) if most is None else F.least(last, F.greatest(F.lit(1), n - most + 1))
+    domains = F.transform(F.sequence(first, last), lambda i: F.array_join(F.slice(labels, i, n), "."))
     path = F.regexp_extract(F.coalesce(url, F.lit("")), _PATH, 1)
     parts = F.split(path, "/")
-    depth = F.size(parts)
-    prefixes = F.when(depth > 1, F.transform(F.sequence(F.lit(1), F.greatest(depth - 1, F.lit(1))), lambda i: F.concat(host, F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")))).otherwise(F.array().cast("array<string>"))
+    slashes = F.size(parts) - 1 if depth is None else F.least(F.size(parts) - 1, depth)
+    prefixes = F.when(slashes > 0, F.transform(F.sequence(F.lit(1), F.greatest(slashes, F.lit(1))), lambda i: F.concat(host, F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")))).otherwise(F.array().cast("array<string>"))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(domains, prefixes)))
 
 
 def filter_urls(pages: DataFrame, changes: DataFrame, day: Column, page_id: str = "page_id", url: str = "url", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per capture: page_id, fetch_day, blocked, n_entries (active ones that match), entry (the smallest of them).
 
-    A null or unparsable URL and a null day match nothing. Repeated rows stay apart. A
+    A null or unparsable URL and a null day match nothing. Repeated rows stay apart, an empty table gives an empty one, URLs may be of any length. A
     capture's keys are joined by key; where the list is too long to broadcast the join is a shuffle
     of narrow rows whose hot hosts adaptive execution splits, since no list entry has more
     rows than changes. The count per capture is summed before it is shuffled.
@@ -56,7 +62,10 @@ def filter_urls(pages: DataFrame, changes: DataFrame, day: Column, page_id: str
     spans = intervals(changes)
     if spans.limit(broadcast_rows + 1).count() <= broadcast_rows:
         spans = F.broadcast(spans)
-    rows = pages.select(F.col(page_id).alias("page_id"), day.alias("fetch_day"), F.monotonically_increasing_id().alias("row"), keys_of(F.col(url)).alias("keys"))
+    count = lambda sign: F.coalesce(F.max(F.size(F.split("entry", sign))), F.lit(1))
+    labels, slashes = changes.agg(count(r"\."), count("/") - 1).first()
+    keys = keys_of(F.col(url), F.lit(labels), F.lit(slashes))
+    rows = pages.select(F.col(page_id).alias("page_id"), day.alias("fetch_day"), F.monotonically_increasing_id().alias("row"), keys.alias("keys"))
     asked = rows.select("page_id", "fetch_day", "row", F.explode_outer("keys").alias("key"))
     active = (F.col("key") == F.col("list.entry")) & (F.col("fetch_day") >= F.col("list.since")) & (F.col("list.until").isNull() | (F.col("fetch_day") < F.col("list.until")))
     met = asked.join(spans.alias("list"), active, "left")

@@ -70,8 +70,9 @@ def test_links_lose_nothing(spark):
             for b in g.integers(0, 64, g.integers(1, 5)):
                 x ^= 1 << int(b)
             prints.add(x)
-    prints = sorted(p - (1 << 64) if p >> 63 else p for p in prints)
-    for radius in (1, 2):
+    dense = [int(centres[0]) ^ x for x in range(0, 1 << 12, 3)]  # rows that are dealt again, and again
+    prints = sorted(p - (1 << 64) if p >> 63 else p for p in prints | set(dense))
+    for radius in (0, 1, 2):
         want = union_find(prints, [(a, b) for i, a in enumerate(prints) for b in prints[:i] if bin((a ^ b) & (1 << 64) - 1).count("1") <= radius])
         found = links(spark.createDataFrame([(p,) for p in prints], "fp long"), radius).collect()
         assert all(bin((r["u"] ^ r["v"]) & (1 << 64) - 1).count("1") <= radius for r in found)

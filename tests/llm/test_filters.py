@@ -78,6 +78,13 @@ def test_urls(spark, empty):
     assert keys[None] == set() == keys["no url"]
 
 
+def test_a_url_of_very_many_parts(spark):
+    url = "http://" + "a." * 100_000 + "c.org/" + "x/" * 100_000
+    pages = spark.createDataFrame([(1, url, dt.date(2024, 2, 1)), (2, "http://a.c.org/x/x/x", dt.date(2024, 2, 1))], "page_id long, url string, day date")
+    changes = spark.createDataFrame([(e, a, dt.date(2024, 1, 1)) for e, a in (("c.org", "add"), ("a.c.org/x/x/", "add"), ("a.c.org/x/", "other"))], "entry string, action string, day date")
+    assert [(r["n_entries"], r["entry"]) for r in filter_urls(pages, changes, F.col("day")).orderBy("page_id").collect()] == [(1, "c.org"), (2, "a.c.org/x/x/")]
+
+
 def test_as_of(spark):
     day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(n)
     r = random.Random(3)

@@ -40,6 +40,16 @@ def test_equals_the_library(both):
     assert machine.count(texts).tolist() == [len(w) for w in want]
 
 
+def test_every_code_point(both):
+    machine, library = both
+    points = [c for c in (*range(0x20000), *range(0x2F800, 0x2FA20), *range(0xE0000, 0xE0200)) if not 0xD800 <= c < 0xE000]
+    for form in ("a{0}b {0}{0}", "{1}{0}x{0}{1}"):
+        texts = [form.format(chr(c), chr(d)) for c, d in zip(points, points[1:] + points[:1])]
+        ids, offsets = machine.encode(texts)
+        want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert [hex(c) for c, a, b, w in zip(points, offsets, offsets[1:], want) if ids[a:b].tolist() != w] == []
+
+
 def test_small_chunks_and_a_flushed_machine_change_nothing(both):
     machine, _ = both
     texts = cases(2)[:300]
