@@ -24,6 +24,11 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(folded(text), SEPARATOR), lambda t: t != "")
 
 
+def spaced(text: Column) -> Column:
+    """The words of tokens as one string, each with a space of its own before and behind it."""
+    return F.concat(F.lit(" "), F.regexp_replace(folded(text), SEPARATOR, "  "), F.lit(" "))
+
+
 def fold(text: str) -> str:
     return "".join(_MARKED.get(c, c) for c in text).lower()
 
@@ -133,6 +138,16 @@ def sanitize(query: str) -> str:
     return " ".join(p + "*" for p in parts)
 
 
+def sanitized(query: Column) -> Column:
+    """The same of a column."""
+    space = r"[ \t\n\r\f\x0B]+"
+    q = F.regexp_replace(query, f"^{space}|{space}$", "")
+    parts = F.filter(F.split(F.replace(q, F.lit('"'), F.lit('""')), space), lambda w: w != "")
+    typed = F.array_join(F.transform(parts, lambda w: F.concat(w, F.lit("*"))), " ")
+    quoted = (F.length(q) > 1) & q.startswith('"') & q.endswith('"')
+    return F.when((q == "") | quoted, q).when(q.rlike(r'[^A-Za-z0-9_" \t\n\r\f\x0B]'), "").otherwise(typed)
+
+
 class QuerySyntaxError(ValueError):
     pass
 

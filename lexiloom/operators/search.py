@@ -29,11 +29,12 @@ def literal_vector(query: list[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in query])
 
 
-def knn(vectors: DataFrame, query: list[float], k: int = 25, metric=l2) -> DataFrame:
-    """chunk_id, distance, score (1 - distance) of the k nearest; distances count to six places, ties go by id, an id's nearest row counts.
-    One scan and a top-k; what is not the query's size is left out."""
+def knn(vectors: DataFrame, query: list[float], k: int = 25, metric=l2, repeated: bool = False) -> DataFrame:
+    """chunk_id, distance, score (1 - distance) of the k nearest; distances count to six places, ties go by id.
+    One scan and a top-k, nothing is shuffled but each task's k rows; what is not the query's size is left out. repeated: ids may occur more than once, and an id's nearest row counts."""
     near = vectors.filter(F.size("vector") == len(query)).select("chunk_id", F.round(metric(F.col("vector"), literal_vector(query)), 6).alias("distance"))
-    near = near.groupBy("chunk_id").agg(F.min("distance").alias("distance")).orderBy("distance", "chunk_id").limit(k)
+    near = near.groupBy("chunk_id").agg(F.min("distance").alias("distance")) if repeated else near
+    near = near.orderBy("distance", "chunk_id").limit(k)
     return near.withColumn("score", 1 - F.col("distance"))
 
 
@@ -62,22 +63,16 @@ def postings(chunks: DataFrame, stemmed: bool = False) -> DataFrame:
 
 
 def document_lengths(chunks: DataFrame) -> DataFrame:
-    return chunks.select("id", F.size(words.tokens(F.col("content"))).alias("dl"))
+    return chunks.select("id", F.regexp_count(words.spaced(F.col("content")), F.lit("[^ ]+")).alias("dl"))
 
 
-def occurrences(tokens: Column, phrase: Phrase) -> Column:
-    """How often a phrase occurs in an array of tokens."""
+def occurrences(spaced: Column, phrase: Phrase) -> Column:
+    """How often a phrase occurs in words that stand between spaces of their own (see text.spaced); plain string functions, linear in the text."""
+    last = phrase.words[-1] + ("" if phrase.prefix else " ")
     if len(phrase.words) == 1:
-        w = phrase.words[0]
-        return F.size(F.filter(tokens, (lambda t: t.startswith(w)) if phrase.prefix else (lambda t: t == w)))
-    n = len(phrase.words)
-
-    def at(t, i):
-        tests = [F.element_at(tokens, (i + j + 1).cast("int")) == w for j, w in enumerate(phrase.words[:-1])]
-        last = F.element_at(tokens, (i + n).cast("int"))
-        return reduce(lambda a, b: a & b, tests) & (last.startswith(phrase.words[-1]) if phrase.prefix else last == phrase.words[-1])
-
-    return F.size(F.filter(tokens, lambda t, i: F.when(i <= F.size(tokens) - n, at(t, i)).otherwise(False)))
+        return ((F.length(spaced) - F.length(F.replace(spaced, F.lit(" " + last)))) / (len(last) + 1)).cast("int")
+    # what follows the first word is only looked at, so occurrences may overlap
+    return F.regexp_count(spaced, F.lit("(?<= )" + phrase.words[0] + "(?=  " + "  ".join((*phrase.words[1:-1], last)) + ")"))
 
 
 def _holds(tree, of: dict[Phrase, str]) -> Column:
@@ -91,32 +86,70 @@ def _all(tree) -> list[Phrase]:
     return [] if tree is None else [tree] if isinstance(tree, Phrase) else _all(tree[1]) + _all(tree[2])
 
 
-def bm25(chunks: DataFrame, expression: str, limit: int | None = None, stemmed: bool = False) -> DataFrame:
-    """id and score of the chunks that an expression matches, the best first. Two scans: one sums what the formula needs of the
-    whole corpus to a single row, one scores; no chunk is shuffled. stemmed goes through the inverted index instead."""
-    tree = words.parse(expression, stemmed)
-    if tree is None:
-        return chunks.select("id", F.lit(0.0).alias("score")).limit(0)
-    every = list(dict.fromkeys(_all(tree)))
-    of = {p: f"f{i}" for i, p in enumerate(every)}
-    if stemmed:
-        index = postings(chunks, True).select("id", F.explode("positions").alias("pos"), "term")
-        rebuilt = index.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("tokens"))
-        rows = chunks.select("id").join(rebuilt, "id", "left").select("id", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
-    else:
-        rows = chunks.select("id", words.tokens(F.col("content")).alias("tokens"))
-    counted = rows.select("id", F.size("tokens").alias("dl"), *[occurrences(F.col("tokens"), p).alias(c) for p, c in of.items()])
-    whole = counted.agg(F.count("*").alias("N"), F.sum("dl").alias("total"), *[F.count_if(F.col(c) > 0).alias(f"n_{c}") for c in of.values()])
+def _scored(counted: DataFrame, tree, of: dict[Phrase, str], limit: int | None) -> DataFrame:
+    """From id, dl, the phrases' counts, N, total and each n_ (in how many chunks a phrase occurs)."""
     score = F.lit(0.0)
     for p in words.phrases(tree):
         f, n = F.col(of[p]), F.col(f"n_{of[p]}")
         idf = F.log((F.col("N") - n + 0.5) / (n + 0.5))
         idf = F.when(idf <= 0, 1e-6).otherwise(idf)
         score = score + idf * (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.col("dl") * F.col("N") / F.col("total")))
-    hits = counted.filter(_holds(tree, of)).crossJoin(F.broadcast(whole)).select("id", score.alias("score"))
+    hits = counted.filter(_holds(tree, of)).select("id", score.alias("score"))
     return hits if limit is None else hits.orderBy(F.desc(F.round("score", 9)), "id").limit(limit)
 
 
+def bm25(chunks: DataFrame, expression: str, limit: int | None = None, stemmed: bool = False) -> DataFrame:
+    """id and score of the chunks that an expression matches, the best first. Two scans: one sums what the formula needs of the
+    whole corpus to a single row, one scores; no chunk is shuffled. Where an index of postings is kept, bm25_indexed reads only the terms that are asked for. stemmed goes through postings made on the way."""
+    tree = words.parse(expression, stemmed)
+    if tree is None:
+        return chunks.select("id", F.lit(0.0).alias("score")).limit(0)
+    if stemmed:
+        return bm25_indexed(postings(chunks, True), document_lengths(chunks), expression, limit, True)
+    of = {p: f"f{i}" for i, p in enumerate(dict.fromkeys(_all(tree)))}
+    rows = chunks.select("id", words.spaced(F.col("content")).alias("spaced"))
+    counted = rows.select("id", F.regexp_count("spaced", F.lit("[^ ]+")).alias("dl"), *[occurrences(F.col("spaced"), p).alias(c) for p, c in of.items()])
+    whole = counted.agg(F.count("*").alias("N"), F.sum("dl").alias("total"), *[F.count_if(F.col(c) > 0).alias(f"n_{c}") for c in of.values()])
+    return _scored(counted.filter(_holds(tree, of)).crossJoin(F.broadcast(whole)), tree, of, limit)  # one row
+
+
+def matching(chunks: DataFrame, expression: str) -> DataFrame:
+    """The chunks that an expression matches, in one scan and without scores."""
+    tree = words.parse(expression)
+    if tree is None:
+        return chunks.limit(0)
+    of = {p: f"_f{i}" for i, p in enumerate(dict.fromkeys(_all(tree)))}
+    rows = chunks.withColumn("_spaced", words.spaced(F.col("content")))
+    rows = rows.withColumns({c: occurrences(F.col("_spaced"), p) for p, c in of.items()})
+    return rows.filter(_holds(tree, of)).drop("_spaced", *of.values())
+
+
+def bm25_indexed(index: DataFrame, lengths: DataFrame, expression: str, limit: int | None = None, stemmed: bool = False) -> DataFrame:
+    """The same from stored postings (term, id, tf, positions) and lengths (id, dl): no text is read, and of postings that are sorted by
+    term only those that are asked for. A phrase is found where the positions of its words, each less its place, agree."""
+    tree = words.parse(expression, stemmed)
+    if tree is None:
+        return lengths.select("id", F.lit(0.0).alias("score")).limit(0)
+    of, parts = {p: f"f{i}" for i, p in enumerate(dict.fromkeys(_all(tree)))}, []
+    for k, p in enumerate(of):
+        rows = []
+        for place, w in enumerate(p.words):
+            own = index.filter(F.col("term").startswith(w) if p.prefix and place == len(p.words) - 1 else F.col("term") == w)
+            if len(p.words) == 1:
+                rows.append(own.select("id", F.col("tf").cast("long").alias("f")))
+            else:
+                rows.append(own.select("id", F.explode("positions").alias("pos")).select("id", (F.col("pos") - place).alias("pos"), F.lit(place).alias("place")))
+        met = reduce(DataFrame.unionByName, rows)
+        if len(p.words) > 1:
+            met = met.groupBy("id", "pos").agg(F.count_distinct("place").alias("n")).filter(F.col("n") == len(p.words)).select("id", F.lit(1).cast("long").alias("f"))
+        parts.append(met.select("id", "f", F.lit(k).alias("k")))
+    every = reduce(DataFrame.unionByName, parts)
+    counted = every.groupBy("id").agg(*[F.sum(F.when(F.col("k") == k, F.col("f")).otherwise(0)).alias(c) for k, c in enumerate(of.values())])
+    found = counted.agg(*[F.count_if(F.col(c) > 0).alias(f"n_{c}") for c in of.values()])
+    whole = lengths.agg(F.count("*").alias("N"), F.sum("dl").alias("total")).crossJoin(found)
+    return _scored(counted.filter(_holds(tree, of)).join(lengths.select("id", "dl"), "id").crossJoin(F.broadcast(whole)), tree, of, limit)  # one row
+
+
 def ranks(scored: DataFrame, name: str) -> DataFrame:
     """1, 2, ... by falling score, ties by id; meant for what a top-k left."""
     return scored.select("id", F.row_number().over(W.orderBy(F.desc(F.round("score", 9)), "id")).alias(name))
@@ -130,18 +163,20 @@ def fuse(vector: DataFrame, text: DataFrame, limit: int) -> DataFrame:
     return fused.orderBy(F.desc(F.round("score", 12)), "id").limit(limit)
 
 
-def hybrid(chunks: DataFrame, vectors: DataFrame, query: str, query_vector: list[float], limit: int = 25, path: str = "", compat: bool = False) -> DataFrame:
-    """Both searches at twice the limit, fused; then the rows of the winners. Text that is no expression has no BM25 half."""
+def hybrid(chunks: DataFrame, vectors: DataFrame, query: str, query_vector: list[float], limit: int = 25, path: str = "", compat: bool = False, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Both searches at twice the limit, fused; then the rows of the winners. Text that is no expression has no BM25 half. index: stored postings and lengths, which save reading the texts."""
     from lexiloom.functions.patterns import path_matches
 
     if path and not compat:
         chunks = chunks.filter(path_matches(F.col("rel_path"), path))
         vectors = vectors.join(chunks.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
+        index = tuple(x.join(chunks.select("id"), "id", "left_semi") for x in index) if index else None
     near = knn(vectors, query_vector, 2 * limit).select(F.col("chunk_id").alias("id"), "score")
+    ask = (lambda q: bm25_indexed(*index, q, 2 * limit)) if index else (lambda q: bm25(chunks, q, 2 * limit))
     try:
-        text = bm25(chunks, words.sanitize(query), 2 * limit)
+        text = ask(words.sanitize(query))
     except words.QuerySyntaxError:
-        text = bm25(chunks, "", 2 * limit)
+        text = ask("")
     top = fuse(near, text, limit)
     out = chunks.join(F.broadcast(top), "id").orderBy(F.desc("score"), "id")  # at most limit rows
     return out.filter(path_matches(F.col("rel_path"), path)) if compat and path else out

@@ -584,20 +584,41 @@ _PHRASE = "len(list_filter(range(1, len(tokens)), lambda i: tokens[i] = 'license
 
 @query("ft_phrase", f"WITH {_DOCS} SELECT id FROM t WHERE {_PHRASE}")
 def ft_phrase(s, d):
-    return search.bm25(docs(s, d), "licensed_un*").select("id")
+    return search.matching(docs(s, d), "licensed_un*").select("id")
 
 
-for _name in ("flt_fts", "jn_fts_semi"):
+@query("ft_bm25_indexed", f"WITH {_DOCS}, {_bm25_sql('th', 'an')} SELECT id, round(score, 6) AS score FROM b")
+def ft_bm25_indexed(s, d):
+    rows = docs(s, d)
+    return search.bm25_indexed(search.postings(rows), search.document_lengths(rows), words.sanitize("th an")).select("id", F.round("score", 6).alias("score"))
 
-    @query(_name, f"WITH {_DOCS} SELECT doc_id FROM t WHERE {_PHRASE.replace(chr(39) + 'un' + chr(39), chr(39) + 'under' + chr(39))} OR len(list_filter(tokens, lambda x: x = 'scum')) > 0")
-    def flt_fts(s, d):
-        hits = search.bm25(docs(s, d), '"licensed under" OR scum')
-        return docs(s, d).join(hits.select("id"), "id", "left_semi").filter("true").select("doc_id")
 
+_SANITIZED = r"""SELECT conv_id, turn, CASE WHEN q = '' OR (length(q) > 1 AND starts_with(q, '"') AND ends_with(q, '"')) THEN q
+  WHEN regexp_matches(q, '[^A-Za-z0-9_" \t\n\r\f\v]') THEN ''
+  ELSE array_to_string(list_transform(list_filter(regexp_split_to_array(replace(q, '"', '""'), '[ \t\n\r\f\v]+'), lambda w: w <> ''), lambda w: w || '*'), ' ') END AS expression
+  FROM (SELECT conv_id, turn, regexp_replace(substr(coalesce(text, ''), 1, turn * 20), '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g') AS q FROM conversations)"""
 
-# a phrase's last word is a whole word there, so the SQL must not treat it as a prefix
-for _name in ("flt_fts", "jn_fts_semi"):
-    _SQL[_name] = _SQL[_name].replace("starts_with(tokens[i + 1], 'under')", "tokens[i + 1] = 'under'")
+
+@query("ft_sanitize", _SANITIZED)
+def ft_sanitize(s, d):
+    """The first characters of each turn as someone might type them."""
+    q = F.substring(F.coalesce("text", F.lit("")), F.lit(1), (F.col("turn") * 20).cast("int"))
+    return table(s, d, "conversations").select("conv_id", "turn", words.sanitized(q).alias("expression"))
+
+_EITHER = f"{_PHRASE.replace('starts_with(tokens[i + 1], ' + chr(39) + 'un' + chr(39) + ')', 'tokens[i + 1] = ' + chr(39) + 'under' + chr(39))} OR len(list_filter(tokens, lambda x: x = 'scum')) > 0"
+
+
+@query("flt_fts", f"WITH {_DOCS} SELECT doc_id FROM t WHERE {_EITHER}")
+def flt_fts(s, d):
+    return search.matching(docs(s, d), '"licensed under" OR scum').select("doc_id")
+
+
+@query("jn_fts_semi", f"WITH {_DOCS} SELECT doc_id FROM t WHERE {_EITHER}")
+def jn_fts_semi(s, d):
+    """The rows that postings find, through a semi join."""
+    rows = docs(s, d)
+    hits = search.bm25_indexed(search.postings(rows), search.document_lengths(rows), '"licensed under" OR scum')
+    return rows.join(hits.select("id"), "id", "left_semi").select("doc_id")
 
 
 @query("jn_fts_chunks", f"WITH {_DOCS}, {_bm25_sql('scum')} SELECT doc_id, round(score, 6) AS score, t.rel_path FROM b JOIN v_files t USING (doc_id)")
@@ -634,7 +655,7 @@ def so_topk_vec(s, d):
 @query("vs_knn_map", f"WITH {_DISTANCE} SELECT chunk_id, round(1 - min(distance), 6) AS score FROM n GROUP BY 1 ORDER BY min(distance), chunk_id LIMIT 50")
 def vs_knn_map(s, d):
     twice = v.vectors(s, d).unionByName(v.vectors(s, d))
-    return search.knn(twice, asked(s, d), 50).select("chunk_id", F.round("score", 6).alias("score"))
+    return search.knn(twice, asked(s, d), 50, repeated=True).select("chunk_id", F.round("score", 6).alias("score"))
 
 
 @query("vs_metric", f"WITH {VECTORS}, q AS (SELECT vector AS qv FROM v_vec WHERE chunk_id = {ASKED}), n AS (SELECT chunk_id, round(list_cosine_distance(vector, qv), 6) AS distance FROM v_vec, q) SELECT chunk_id, distance FROM n ORDER BY distance, chunk_id LIMIT 25")

@@ -44,15 +44,15 @@ def test_grep(spark):
 
 def test_knn(spark):
     v = spark.createDataFrame([("c1", [0.9, 0.1, 0.0, 0.0]), ("c2", [0.1, 0.9, 0.0, 0.0]), ("c2", [0.9, 0.1, 0.0, 0.1]), ("odd", [1.0])], "chunk_id string, vector array<double>")
-    got = search.knn(v, [0.9, 0.1, 0, 0], 5).collect()
+    got = search.knn(v, [0.9, 0.1, 0, 0], 5, repeated=True).collect()
     assert [(r["chunk_id"], r["distance"]) for r in got] == [("c1", 0.0), ("c2", 0.1)]
 
 
-TEXTS = ["the running fox runs", "a lazy dog", "foo_bar baz", "the fox and the dog, the café", "running dogs bark", "Licensed under the Apache License", ""]
+TEXTS = ["the running fox runs", "a lazy dog", "foo_bar baz", "the fox and the dog, the café", "running dogs bark", "Licensed under the Apache License", "", "no no no, no yes"]
 
 
 @pytest.mark.parametrize("stemmed", [False, True])
-@pytest.mark.parametrize("expression", ["the*", "the* fox*", '"the fox"', "foo_bar*", "running*", "run*", '"fox" OR "dog"', "the* NOT dog*", "cafe*", "zzz*", "dog* bark* running*"])
+@pytest.mark.parametrize("expression", ["the*", "the* fox*", '"the fox"', "foo_bar*", "running*", "run*", '"fox" OR "dog"', "the* NOT dog*", "cafe*", "zzz*", "dog* bark* running*", '"no no"', '"no no n" *', '"the café"'])
 def test_bm25_against_fts5(spark, expression, stemmed):
     db = sqlite3.connect(":memory:")
     db.execute(f"CREATE VIRTUAL TABLE t USING fts5(x, tokenize='{'porter ' if stemmed else ''}unicode61')")
@@ -60,6 +60,11 @@ def test_bm25_against_fts5(spark, expression, stemmed):
     want = {f"c{i}": s for i, s in db.execute("SELECT rowid, -bm25(t) FROM t WHERE t MATCH ?", (expression,))}
     got = {r["id"]: r["score"] for r in search.bm25(chunks(spark, *TEXTS), expression, stemmed=stemmed).collect()}
     assert set(got) == set(want) and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+    if not stemmed:
+        index = search.postings(c := chunks(spark, *TEXTS)), search.document_lengths(c)
+        assert {r["id"] for r in search.matching(c, expression).collect()} == set(want)
+        got = {r["id"]: r["score"] for r in search.bm25_indexed(*index, expression).collect()}
+        assert set(got) == set(want) and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
 
 
 def test_hybrid(spark):
