@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexiloom.operators import graph
+from lexiloom.operators import graph, tables
 from lexiloom.operators import search as ranking
 from lexiloom.operators.grep import clamp, grep
 
 
-def search(chunks: DataFrame, vectors: DataFrame, query: str, query_vector: list[float], mode: str = "hybrid", limit: int | None = 25, path: str = "", compat: bool = False) -> DataFrame:
+def search(chunks: DataFrame, vectors: DataFrame, query: str, query_vector: list[float], mode: str = "hybrid", limit: int | None = 25, path: str = "", compat: bool = False, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """mode grep gives grep's rows in the shape of a search; anything else is the hybrid search."""
     if mode == "grep":
         return grep(chunks, query, limit, path=path, compat=compat).drop("matches")
-    return ranking.hybrid(chunks, vectors, query, query_vector, clamp(limit), path, compat)
+    return ranking.hybrid(chunks, vectors, query, query_vector, clamp(limit), path, compat, index)
 
 
 def percent(found: DataFrame) -> DataFrame:
@@ -30,11 +30,11 @@ class Engine:
         self.spark, self.path, self.branch, self.embed = spark, path, branch, embed
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}").filter(F.col("branch") == self.branch)
+        return tables.read(self.spark, f"{self.path}/{name}").filter(F.col("branch") == self.branch)
 
     def search(self, query: str, limit: int = 25, path: str = "", mode: str = "hybrid") -> DataFrame:
         vector = self.embed([query])[0] if mode != "grep" else []
-        return percent(search(self.table("chunks"), self.table("vectors"), query, vector, mode, limit, path))
+        return percent(search(self.table("chunks"), self.table("vectors"), query, vector, mode, limit, path, index=(self.table("postings"), self.table("lengths"))))
 
     def grep(self, query: str, **how) -> DataFrame:
         return percent(grep(self.table("chunks"), query, **how))

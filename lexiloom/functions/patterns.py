@@ -22,7 +22,7 @@ IGNORED = (
     "*.exe", "*.dll", "*.so", "*.dylib", "*.bin", "*.class", "*.o", "*.obj", "*.lib", "*.wasm", "*.pyc", "*.pyo", "*.png", "*.jpg", "*.jpeg", "*.gif",
     "*.ico", "*.svg", "*.woff", "*.ttf", "*.eot", "*.zip", "*.tar.gz", "*.7z", "*.rar", "*.pdf", "*.min.js", "*.min.css", "*.lock",
     "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "go.sum", "Cargo.lock", "Pipfile.lock", "poetry.lock", ".gitkeep", ".gitmodules",
-    ".go-mcp", ".DS_Store", "Thumbs.db", "*.log", ".tox", ".mypy_cache", ".pytest_cache", ".gradle", ".terraform", ".raggrep",
+    ".DS_Store", "Thumbs.db", "*.log", ".tox", ".mypy_cache", ".pytest_cache", ".gradle", ".terraform", ".raggrep",
 )
 #: An expression with any of these characters is a regular expression.
 REGEX_MARKS = frozenset(".*+?|()[]{}^$\\")
@@ -42,21 +42,51 @@ def is_regex(query: str) -> bool:
     return not REGEX_MARKS.isdisjoint(query)
 
 
+# What POSIX calls classes, in Java.
+_POSIX = {"alnum": r"\p{Alnum}", "alpha": r"\p{Alpha}", "ascii": r"\p{ASCII}", "blank": r"\p{Blank}", "cntrl": r"\p{Cntrl}", "digit": r"\p{Digit}", "graph": r"\p{Graph}", "lower": r"\p{Lower}", "print": r"\p{Print}", "punct": r"\p{Punct}", "space": r"\s", "upper": r"\p{Upper}", "word": r"\w", "xdigit": r"\p{XDigit}"}
+
+
 def java_regex(pattern: str, case_sensitive: bool = False) -> str:
-    """An RE2 expression as Java reads it: word borders of ASCII words, folding beyond ASCII. Look-around and back references, which RE2 lacks, are refused."""
+    """An RE2 expression as Java reads it: word borders of ASCII words, folding beyond ASCII, named groups, POSIX classes, scripts, and brackets inside classes, which are literal. What RE2 lacks (look-around, back references, atomic groups) is refused."""
     out, i, inside = [], 0, False
     while i < len(pattern):
-        two = pattern[i : i + 2]
-        if two[:1] == "\\":
-            if two[1:2].isdigit() and two != "\\0":
-                raise ValueError("back references are not supported")
-            out.append(_BORDER if two == r"\b" and not inside else two)
-            i += 2
+        rest = pattern[i:]
+        if rest[0] == "\\":
+            if m := re.match(r"\\Q(.*?)(?:\\E|$)", rest, re.S):
+                out.append(quoted(m[1]))
+                i += m.end()
+                continue
+            if re.match(r"\\[1-9kGZRXhHNV]", rest):
+                raise ValueError(f"{rest[:2]} is not supported")
+            m = re.match(r"\\[pP](?:\{(\^?)(\w+)\}|.)", rest)
+            if m and m[2] and len(m[2]) > 2:
+                out.append(("\\P" if (rest[1] == "P") != bool(m[1]) else "\\p") + "{Is" + m[2] + "}")
+            else:
+                out.append(_BORDER if rest[:2] == r"\b" and not inside else m[0] if m else rest[:2])
+            i += m.end() if m else 2
+            continue
+        if inside:
+            m = re.match(r"\[:(\^?)(\w+):\]", rest)
+            if m and m[2] in _POSIX:
+                own = _POSIX[m[2]]
+                out.append("\\" + own[1].upper() + own[2:] if m[1] else own)
+                i += m.end()
+                continue
+            inside = rest[0] != "]"
+            out.append("\\" + rest[0] if rest[0] in "[&" else rest[0])
+        elif rest[0] == "[":
+            m = re.match(r"\[\^?\]?", rest)  # a bracket that comes first is a literal
+            out.append(m[0].replace("]", r"\]"))
+            i, inside = i + m.end(), True
             continue
-        if not inside and re.match(r"\(\?(=|!|<[=!])", pattern[i:]):
-            raise ValueError("look-around is not supported")
-        inside = True if two[:1] == "[" else False if two[:1] == "]" else inside
-        out.append(two[:1])
+        elif m := re.match(r"\(\?P?<\w+>", rest):
+            out.append("(")
+            i += m.end()
+            continue
+        elif re.match(r"\(\?(?![a-zA-Z-]*[:)])", rest) or re.match(r"\(\?[a-z-]*U", rest):
+            raise ValueError("this kind of group is not supported")
+        else:
+            out.append(rest[0])
         i += 1
     return ("" if case_sensitive else "(?iu)") + "".join(out)
 
@@ -128,8 +158,8 @@ def ignore_regex(patterns: tuple[str, ...] = IGNORED, compat: bool = False) -> s
 
 
 def literal_factor(pattern: str) -> str | None:
-    """A run of at least three word characters that every match of a regular expression must hold; none if that is not certain."""
-    if "|" in pattern or "(?" in pattern:
+    """A run of at least three word characters that every match of a regular expression must hold; none if that is not certain, as behind an escape of more than one character."""
+    if "|" in pattern or "(?" in pattern or re.search(r"\\[^sSdDwWbBnrtfva\W]|\\$", pattern):
         return None
     text = re.sub(r"\[[^\]]*\]|\([^()]*\)|\{[^}]*\}|\\.|[a-zA-Z0-9_](?=[*?{])|[.^$*+?]", "\0", pattern)
     runs = sorted(re.findall(r"[0-9A-Za-z_]{3,}", text), key=len)

@@ -1,8 +1,8 @@
-"""Changes of the index tables, as plans that give the table after the change, and the writer that swaps it in."""
+"""Changes of the index tables, as plans that give the table after the change, and tables kept as versions."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -68,16 +68,38 @@ def same_multiset(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
     return x.exceptAll(y).unionByName(y.exceptAll(x)).agg((F.count("*") == 0).alias("equal"))
 
 
-def overwrite(rows: DataFrame, path: str) -> None:
-    """Writes beside the table and swaps the folders, so a reader sees the old table or the new one. rows may read from path."""
-    jvm = rows.sparkSession.sparkContext._jvm
-    conf = rows.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    at, staged, old = (jvm.org.apache.hadoop.fs.Path(f"{path}{s}") for s in ("", ".staged", ".old"))
-    fs = at.getFileSystem(conf)
-    fs.delete(staged, True)
-    rows.write.parquet(f"{path}.staged")
-    if fs.exists(at):
-        fs.delete(old, True)
-        fs.rename(at, old)
-    fs.rename(staged, at)
-    fs.delete(old, True)
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions of a table that are complete, the newest first: a version counts once Spark has marked its folder as done."""
+    fs, at = _files(spark, path)
+    if not fs.exists(at(path)):
+        return []
+    found = [x.getPath().getName() for x in fs.listStatus(at(path)) if x.getPath().getName().startswith("v=")]
+    return sorted((int(n[2:]) for n in found if fs.exists(at(f"{path}/{n}/_SUCCESS"))), reverse=True)
+
+
+def overwrite(rows: DataFrame, path: str, keep: int = 2) -> None:
+    """Writes a new version of the table beside the last ones (path/v=N) and drops all but the newest ``keep``.
+
+    Nothing is renamed: whenever a run stops, the last complete version is what readers find, and a half-written one is no version. rows may read from the
+    table. A reader that has opened a version can read it until ``keep`` more have been written.
+    """
+    spark = rows.sparkSession
+    known = versions(spark, path)
+    fs, at = _files(spark, path)
+    rows.write.mode("overwrite").parquet(f"{path}/v={known[0] + 1 if known else 0}")
+    for old in versions(spark, path)[keep:]:
+        fs.delete(at(f"{path}/v={old}"), True)
+
+
+def read(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """The newest version of a table; an empty one of the schema where there is none yet."""
+    known = versions(spark, path)
+    if not known and schema:
+        return spark.createDataFrame([], schema)
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(f"{path}/v={known[0] if known else 0}")

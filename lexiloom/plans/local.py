@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from lexiloom.operators.embed import embedded, hashing
@@ -12,6 +10,7 @@ from lexiloom.operators.search import bm25
 from lexiloom.operators.structural import structural_blocks, structural_chunks
 from lexiloom.plans.registry import docs, query
 from lexiloom.sources import views as v
+from lexiloom.storage import shared_dir
 
 #: Languages in turn, so that every splitter and extractor runs over all documents; each document's lines become small functions.
 _SOURCE = {"go": ("func f{0}() {{", "}}"), "python": ("def f{0}():", "    pass"), "javascript": ("function f{0}() {{", "}}"), "rust": ("fn f{0}() {{", "}}"), "c": ("int f{0}() {{", "}}"), "php": ("function f{0}() {{", "}}"), "zig": ("pub fn f{0}() void {{", "}}"), "markdown": ("# f{0}", "")}
@@ -70,8 +69,7 @@ def sm_watch(s, d):
     """The change stream through Structured Streaming, once; the same as sm_latest."""
     from lexiloom.streaming.watch import live, watch
 
-    base = s.conf.get("spark.checkpoint.dir", None) or "file:///tmp/lexiloom-watch"
-    here = f"{base.rstrip('/')}/watch-{uuid.uuid4().hex}"
+    here = shared_dir(s)
     raw = s.read.parquet(f"{d}/events.parquet")
     stream = s.readStream.schema(raw.schema).option("pathGlobFilter", "events*.parquet").parquet(d)
     rows = stream.selectExpr("user_id AS file", "ts", "event_id", "event_type = 'error' AS deleted", "substr(sha2(coalesce(props, ''), 256), 1, 16) AS payload")

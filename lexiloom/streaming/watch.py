@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lexiloom.operators.tables import overwrite
+from lexiloom.operators.tables import overwrite, read
 
 STATE = "file long, ts timestamp, event_id long, deleted boolean, payload string"
 
@@ -18,22 +20,37 @@ def merged(state: DataFrame, batch: DataFrame) -> DataFrame:
     return last.select("file", "x.*")
 
 
+#: Parts of the state by a hash of the file; a batch rewrites those that it touches.
+PARTS = 16
+
+
+def part_of(file: Column) -> Column:
+    return F.pmod(F.xxhash64(file), F.lit(PARTS)).cast("int")
+
+
 def watch(changes: DataFrame, path: str, checkpoint: str, once: bool = False, seconds: int = 60) -> StreamingQuery:
-    """Merges each batch of a streaming DataFrame into the table at path. once: takes what is there and ends."""
+    """Merges each batch of a streaming DataFrame into the state at path, which lies in PARTS tables of versions (see tables.overwrite). once: takes what is there and ends.
+
+    A batch that is interrupted is run again by the stream; parts that it had already written then change no more.
+    """
     spark = changes.sparkSession
 
     def apply(batch: DataFrame, _: int) -> None:
-        overwrite(merged(current(spark, path), batch.select("file", "ts", "event_id", "deleted", "payload")), path)
+        batch = batch.select("file", "ts", "event_id", "deleted", "payload").withColumn("part", part_of(F.col("file"))).persist()
+        try:
+            for (k,) in batch.select("part").distinct().orderBy("part").collect():  # at most PARTS
+                own = f"{path}/part={k}"
+                overwrite(merged(read(spark, own, STATE), batch.filter(F.col("part") == k).drop("part")).coalesce(1), own)
+        finally:
+            batch.unpersist()
 
     writer = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath):
-        return spark.read.schema(STATE).parquet(path)
-    return spark.createDataFrame([], STATE)
+    """All parts; a part that no batch has touched is empty."""
+    return reduce(DataFrame.unionByName, [read(spark, f"{path}/part={k}", STATE) for k in range(PARTS)])
 
 
 def live(spark: SparkSession, path: str) -> DataFrame:

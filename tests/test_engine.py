@@ -137,3 +137,40 @@ def test_stream_equals_batch(spark, tmp_path):
         stream = spark.readStream.schema(raw.schema).parquet(source)
         W.watch(rows(stream), path, f"{tmp_path}/checkpoint", once=True).awaitTermination()
     assert sorted(map(tuple, W.live(spark, path).collect())) == want
+
+
+def test_a_run_that_stops_leaves_the_last_version(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    assert tables.read(spark, path, "x int").count() == 0
+    tables.overwrite(spark.createDataFrame([(1,)], "x int"), path)
+    for left in ([], ["part-0.parquet"]):  # a folder that was begun, with and without files
+        (tmp_path / "t" / "v=1").mkdir(exist_ok=True)
+        for f in left:
+            (tmp_path / "t" / "v=1" / f).write_text("no Parquet")
+        assert [r[0] for r in tables.read(spark, path).collect()] == [1]
+    for k in (2, 3, 4):
+        tables.overwrite(tables.read(spark, path).unionByName(spark.createDataFrame([(k,)], "x int")), path)
+    assert sorted(r[0] for r in tables.read(spark, path).collect()) == [1, 2, 3, 4] and len(tables.versions(spark, path)) == 2
+
+
+def test_the_steps_of_a_start(spark, tmp_path):
+    root, store = tmp_path / "src", f"file://{tmp_path}/index"
+    root.mkdir()
+    (root / "a.go").write_text("package a\nfunc one() {\n\ttwo()\n}\n")
+    (root / "b.go").write_text("package a\nfunc two() {\n}\n")
+    walk = lambda branch="main": sources.walk(spark, f"file://{root}", branch=branch)
+    embed = hashing(8)
+    assert index.start(spark, walk(), store, "s1", embed=embed) == "full" and index.start(spark, walk(), store, "s1", embed=embed) == "current"
+    (root / "b.go").write_text("package a\nfunc three() {\n}\n")
+    assert index.start(spark, walk(), store, "s2", embed=embed, cancelled=lambda: True) == "cancelled" and index.start(spark, walk(), store, "s2", embed=embed) == "incremental"
+    e = Engine(spark, store, embed=embed)
+    assert {r["name"] for r in e.table("symbols").collect()} == {"one", "three"} and e.search("three").first()["rel_path"] == "b.go"
+    other = f"file://{tmp_path}/other"
+    (root / "c.go").write_text("package a\nfunc four() {\n}\n")
+    assert index.start(spark, walk("dev"), other, "s3", {"main": store, "none": f"file://{tmp_path}/none"}, embed) == "seeded"
+    assert {r["name"] for r in Engine(spark, other, "dev", embed).table("symbols").collect()} == {"one", "three", "four"}
+    for name in ("symbols", "refs"):
+        tables.overwrite(tables.read(spark, f"{other}/{name}").filter("rel_path <> 'a.go'"), f"{other}/{name}")
+    assert [r[0] for r in index.refs_missing(spark, walk("dev"), other).collect()] == ["a.go"] and index.refs_missing(spark, walk("dev"), other).count() == 0
+    assert not index.ignore_changed(spark, other, (), ("c.go",)) and index.ignore_changed(spark, other, ("c.go",), ("b.go",))
+    assert [r[0] for r in Engine(spark, other, "dev", embed).list_files().collect()] == ["a.go"]

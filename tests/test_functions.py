@@ -47,7 +47,11 @@ def test_ignore():
 
 def test_java_regex():
     assert P.java_regex("a", True) == "a" and P.java_regex("a").startswith("(?iu)") and r"\b" not in P.java_regex(r"\bfoo\b")
-    for bad in ("(?=a)", "(?<!a)", r"(a)\1"):
+    java = lambda p, t: bool(re.search(P.java_regex(p, True).replace(r"\p{Alpha}", "a-zA-Z").replace(r"\P{Digit}", r"\D"), t))
+    assert java("(?P<n_1>ab)c", "abc") and java("(?<x>a)", "a") and java("[[:alpha:]]+1", "ab1") and not java("^[[:alpha:]]$", ":") and java("[[:^digit:]]", "x")
+    assert java("[[a]", "[") and java("[]a]", "]") and P.java_regex(r"\p{Greek}\pL\p{Lu}\P{^Han}", True) == r"\p{IsGreek}\pL\p{Lu}\p{IsHan}" and java(r"\Qa.b\E", "a.b") and not java(r"\Qa.b\E", "axb")
+    assert P.literal_factor(r"\x41bcd") is None and P.literal_factor(r"\pLetter") is None and P.literal_factor(r"\QabcE") is None and P.literal_factor(r"abc\.d") == "abc"
+    for bad in ("(?=a)", "(?<!a)", r"(a)\1", "(?>a)", "(?U)a+"):
         with pytest.raises(ValueError):
             P.java_regex(bad)
     assert P.literal_factor("foo|bar") is None and P.literal_factor("abcd?x") == "abc" and P.literal_factor(r"licensed\s+under") == "licensed" and P.literal_factor("(abc)*d") is None
