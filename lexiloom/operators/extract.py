@@ -1,6 +1,6 @@
 """Symbols and references of source files: Python through its own parser, other languages through a lexer.
 
-One file is one unit of work (mapInArrow); files of more than ``MOST`` characters and ones that do not parse give nothing.
+One file is one unit of work (mapInArrow); files of more than ``MOST`` characters give nothing, Python that does not parse is read by lines.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ DEFINITIONS: dict[str, tuple[tuple[str, str], ...]] = {
     "javascript": _SCRIPT, "typescript": _SCRIPT, "tsx": _SCRIPT, "c": _C,
     "cpp": ((r"^\s*namespace\s+(?P<name>\w+)", "module"), (r"^\s*(?:template\s*<[^>]*>\s*)?class\s+(?P<name>\w+)", "class"), (r"^[\w\s*&:<>,]*?\b(?P<of>\w+)::(?P<name>~?\w+)\s*\([^;]*\)[^;]*\{?\s*$", "method"), *_C),
     "php": ((r"^\s*(?:(?:public|private|protected|static|final|abstract)\s+)+function\s+&?(?P<name>\w+)", "method"), (r"^\s*function\s+&?(?P<name>\w+)", "function"), (r"^\s*(?:abstract\s+|final\s+)?class\s+(?P<name>\w+)", "class"), (r"^\s*interface\s+(?P<name>\w+)", "interface"), (r"^\s*trait\s+(?P<name>\w+)", "class"), (r"^\s*enum\s+(?P<name>\w+)", "enum"), (r"^\s*const\s+(?P<name>\w+)", "constant"), (r"^\s*namespace\s+(?P<name>[\w\\]+)", "module")),
-    "rust": ((r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const\s+)?(?:async\s+)?(?:unsafe\s+)?fn\s+(?P<name>\w+)", "function"), (r"^\s*(?:pub(?:\([^)]*\))?\s+)?struct\s+(?P<name>\w+)", "struct"), (r"^\s*(?:pub(?:\([^)]*\))?\s+)?enum\s+(?P<name>\w+)", "enum"), (r"^\s*(?:pub(?:\([^)]*\))?\s+)?trait\s+(?P<name>\w+)", "interface"), (r"^\s*impl(?:<[^>]*>)?\s+(?:[\w:<>]+\s+for\s+)?(?P<name>\w+)", "class"), (r"^\s*(?:pub\s+)?type\s+(?P<name>\w+)", "type"), (r"^\s*(?:pub\s+)?const\s+(?P<name>\w+)", "constant"), (r"^\s*(?:pub\s+)?static\s+(?:mut\s+)?(?P<name>\w+)", "variable"), (r"^\s*(?:pub\s+)?mod\s+(?P<name>\w+)", "module")),
+    "rust": ((r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const\s+)?(?:async\s+)?(?:unsafe\s+)?fn\s+(?P<name>\w+)", "function"), (r"^\s*(?:pub(?:\([^)]*\))?\s+)?struct\s+(?P<name>\w+)", "struct"), (r"^\s*(?:pub(?:\([^)]*\))?\s+)?enum\s+(?P<name>\w+)", "enum"), (r"^\s*(?:pub(?:\([^)]*\))?\s+)?trait\s+(?P<name>\w+)", "interface"), (r"^\s*(?:pub\s+)?type\s+(?P<name>\w+)", "type"), (r"^\s*(?:pub\s+)?const\s+(?P<name>\w+)", "constant"), (r"^\s*(?:pub\s+)?static\s+(?:mut\s+)?(?P<name>\w+)", "variable"), (r"^\s*(?:pub\s+)?mod\s+(?P<name>\w+)", "module")),
     "zig": ((r"^\s*(?:pub\s+)?(?:export\s+|extern\s+|inline\s+)*fn\s+(?P<name>\w+)", "function"), (r"^\s*(?:pub\s+)?const\s+(?P<name>\w+)\s*=\s*(?:packed\s+|extern\s+)?(?:struct|union|opaque)\b", "struct"), (r"^\s*(?:pub\s+)?const\s+(?P<name>\w+)\s*=\s*enum\b", "enum"), (r'^\s*test\s+"(?P<name>[^"]*)"', "function")),
 }
 _COMPILED = {k: [(re.compile(p), kind) for p, kind in v] for k, v in DEFINITIONS.items()}
@@ -44,6 +44,45 @@ _CALL = re.compile(rf"(?<![\w$])({_NAME})(!?)\s*\(")
 _GO_IMPORT = re.compile(r'^\s*(?:import\s+)?(?:(?P<alias>[\w.]+)\s+)?"(?P<path>[^"]+)"\s*$')
 _JS_IMPORT = re.compile(r"""^\s*import\s+(?:type\s+)?(?P<names>.+?)\s+from\s+['"](?P<path>[^'"]+)['"]""")
 _JSX = re.compile(r"<([A-Z][\w.]*)[\s/>]")
+# Names of types that a language brings along and that are no names of their own in it (Go's are).
+_BUILT_IN = frozenset("void char short int long float double signed unsigned bool auto const static inline extern return else case goto typedef struct union enum class new delete using namespace template typename public private protected virtual operator if for while switch sizeof".split())
+_UPPER = r"([A-Z]\w*)"
+#: Where a name of a type stands, for languages whose types begin with a capital.
+_TYPE_PLACES = {
+    "typescript": re.compile(rf"(?::\s*|\b(?:as|extends|implements|class|interface|type|enum|keyof|is)\s+|[<|&,(]\s*(?=[A-Z]\w*\s*[\[\]<>|&,]+))(?:readonly\s+)?(?:\w+\.)*{_UPPER}"),
+    "rust": re.compile(rf"(?:[:&<,(+=]\s*|->\s*|\b(?:impl|for|as|dyn|mut|struct|enum|trait|type|where)\s+)(?:'\w+\s+)?(?:mut\s+|dyn\s+)?(?:\w+::)*{_UPPER}(?!\s*(?:\(|::|!))"),
+}
+_TYPE_PLACES["tsx"] = _TYPE_PLACES["typescript"]
+_C_TYPE = re.compile(r"\b(?:struct|union|enum|class)\s+(\w+)|(?<![\w.>\"])(?:\w+::)*([A-Za-z_]\w*)(?:\s*<[^<>;]*>)?(?:\s*[*&]+\s*|\s+)[A-Za-z_]\w*\s*(?=[;,)=({\[])")
+_C_ARGUMENTS = re.compile(r"(?<=\w)<([^<>;()]*)>")
+_GO_TYPE = r"(?:[\[\]*\w.]|\bchan\s|<-)+"
+_GO_PLACES = re.compile(rf"\.\(({_GO_TYPE})\)|\b(?:make|new)\(({_GO_TYPE})|^\s*var\s+[\w, ]*?\w\s+({_GO_TYPE})|^\s*type\s+\w+(?:\[[^\]]*\])?\s+=?\s*((?!struct\b|interface\b|func\b){_GO_TYPE})|(\[\d*\]{_GO_TYPE}|\bmap\[{_GO_TYPE})")
+
+
+def _go_names(type_text: str) -> list[str]:
+    """The names in the text of a type, each behind its package."""
+    return [m.rsplit(".", 1)[-1] for m in re.findall(r"[A-Za-z_][\w.]*", type_text) if m not in ("map", "chan", "func", "struct", "interface")]
+
+
+def _go_parameters(text: str) -> list[str]:
+    """Types of a list of parameters or results: what stands behind the names, if there are names."""
+    parts = [p.strip() for p in text.split(",") if p.strip()]
+    named = any(re.match(r"^\w+\s+\S", p) and not p.startswith(("chan ", "func")) for p in parts)
+    return [n for p in parts for n in _go_names((p.split(None, 1)[1] if " " in p else "") if named else p)]
+
+
+def _go_types(text: str, field: bool) -> list[str]:
+    out = [n for m in _GO_PLACES.finditer(text) for g in m.groups() if g for n in _go_names(g)]
+    if re.match(r"^\s*func\b|^\s*\w+\s*\(.*\)", text) and ("func" in text or field):
+        groups = re.findall(r"\(([^()]*)\)", text.split("{", 1)[0])
+        out += [n for g in groups for n in _go_parameters(g)]
+        tail = re.search(r"\)\s*([^(){]+?)\s*(?:\{.*)?$", text.split("{", 1)[0])
+        out += _go_names(tail[1]) if tail else []
+    elif field and (m := re.match(rf"^\s*(?:\w+(?:\s*,\s*\w+)*\s+)?({_GO_TYPE})\s*$", re.sub(r'""|`.*`', "", text))):
+        out += _go_names(m[1])
+    return out
+
+
 _MADE = re.compile(rf"\bnew\s+({_NAME})|(?<![\w.])&?([A-Z]\w*)\{{")
 
 
@@ -106,9 +145,34 @@ def _python(found: _Found, content: str) -> None:
             found.ref(f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else "", "calls", node.lineno, "call")
 
 
+def _python_lines(found: _Found) -> None:
+    """Python that does not parse, line by line."""
+    for i, raw in enumerate(found.lines, 1):
+        text = re.sub(r"#.*", "", _bare(raw.replace("//", "__")))
+        own = None
+        if m := re.match(r"^\s*(?:async\s+)?(def|class)\s+(\w+)", text):
+            own, end = m[2], i
+            for k in range(i, len(found.lines)):
+                if found.lines[k].strip():
+                    if len(found.lines[k]) - len(found.lines[k].lstrip()) <= len(raw) - len(raw.lstrip()):
+                        break
+                    end = k + 1
+            found.symbol(own, "function" if m[1] == "def" else "class", i, end)
+        elif m := re.match(r"^\s*(?:from\s+([\w.]+)\s+)?import\s+([\w.,\s]+?)\s*$", text):
+            for part in m[2].split(","):
+                if name := part.split(" as ")[0].strip():
+                    found.symbol(f"{m[1]}.{name}" if m[1] else name, "import", i, i)
+                    found.ref(name, "imports", i, "import")
+            continue
+        for m in _CALL.finditer(text):
+            if m[1] != own and m[1] not in _NO_CALL:
+                found.ref(m[1], "calls", i, "call")
+
+
 def _lexed(found: _Found) -> None:
     lines, language, grouped, comment = found.lines, found.language, False, False
     patterns = _COMPILED[language]
+    specs, inside, depth = "", "", 0  # of Go: the group of declarations, struct or interface that a line is in, and its open brackets
     for i, raw in enumerate(lines, 1):
         if comment or raw.lstrip().startswith("/*"):
             comment = "*/" not in raw
@@ -140,7 +204,48 @@ def _lexed(found: _Found) -> None:
             found.ref(m[1], "imports", i, "import")
             continue
         text, own = _bare(raw), None
-        for pattern, kind in patterns:
+        if language == "go":
+            if specs:
+                if text.strip() == ")" and not depth:
+                    specs = ""
+                    continue
+                if not depth and (m := re.match(r"^\s*(\w+(?:\s*,\s*\w+)*)(?:\s+|\s*$|\s*=)(.*)", text)):
+                    for name in re.split(r"\s*,\s*", m[1]):
+                        kind = {"var": "variable", "const": "constant"}.get(specs) or next((k for k in ("struct", "interface") if m[2].startswith(k)), "type")
+                        found.symbol(name, kind, i, brace_end(lines, i - 1) + 1 if kind in ("struct", "interface") else i)
+                    own = m[1]
+                    for name in _go_names(re.match(_GO_TYPE, m[2])[0]) if specs == "var" and re.match(_GO_TYPE, m[2]) else ():
+                        found.ref(name, "accessed", i, "type")
+                    if specs == "type" and (m := re.match(r"^(struct|interface)\s*\{\s*$", m[2])):
+                        inside = m[1]
+                depth += sum(map(text.count, "({[")) - sum(map(text.count, ")}]"))
+            elif m := re.match(r"^\s*(var|const|type)\s*\(\s*$", text):
+                specs, depth = m[1], 0
+                continue
+            elif m := re.match(r"^\s*(?:var|const)\s+(\w+(?:\s*,\s*\w+)+)", text):
+                for name in re.split(r"\s*,\s*", m[1]):
+                    found.symbol(name, "constant" if "const" in text else "variable", i, i)
+                own = m[1]
+            elif m := re.match(r"^\s*type\s+\w+(?:\[[^\]]*\])?\s+(struct|interface)\s*\{\s*$", text):
+                inside = m[1] + " "
+            if inside and not inside.endswith(" ") or inside and not re.match(r"^\s*type\b", text):
+                if text.strip().startswith("}"):
+                    inside = ""
+                elif inside.strip() == "interface" and (m := re.match(r"^\s*(\w+)\s*\(", text)):
+                    found.symbol(m[1], "method", i, i)
+                    own = m[1]
+            for name in dict.fromkeys(_go_types(text, bool(inside))):
+                if name != own:
+                    found.ref(name, "accessed", i, "type")
+        elif language in _TYPE_PLACES:
+            for m in _TYPE_PLACES[language].finditer(text):
+                found.ref(m[1], "accessed", i, "type")
+        elif language in ("c", "cpp") and not text.lstrip().startswith("#"):
+            arguments = [n for m in _C_ARGUMENTS.finditer(text) for n in re.findall(r"(?<!\w)[A-Za-z_]\w*(?!\w|::)", m[1])]
+            for name in [*(m[1] or m[2] for m in _C_TYPE.finditer(text)), *arguments]:
+                if name not in _BUILT_IN:
+                    found.ref(name, "accessed", i, "type")
+        for pattern, kind in patterns if own is None else ():
             m = pattern.match(raw if kind == "function" and language == "zig" else text)
             if m and m["name"] not in _NO_NAME:
                 own = m["name"]
@@ -151,7 +256,8 @@ def _lexed(found: _Found) -> None:
                 found.symbol(own, kind, i, last, f"({of}).{own}" if of else None)
                 break
         for m in _CALL.finditer(text):
-            if m[1] not in _NO_CALL and not (m[1] == own and m.start(1) <= text.find(own)):
+            made = re.search(r"\bnew\s+(?:[\w.]+\.)?$", text[: m.start(1)])
+            if m[1] not in _NO_CALL and not made and not (m[1] == own and m.start(1) <= text.find(own)):
                 found.ref(m[1], "calls", i, "call")
         for m in _MADE.finditer(text):
             name = m[1] or m[2]
@@ -169,8 +275,8 @@ def extract(language: str, path: str, digest: str, content: str | None) -> tuple
     found = _Found(language, path, digest, split_lines(content))
     try:
         _python(found, content) if language == "python" else _lexed(found)
-    except (SyntaxError, ValueError, RecursionError):
-        return [], []
+    except (SyntaxError, ValueError, RecursionError):  # such as Python 2
+        _python_lines(found)
     return list(found.symbols.values()), list(found.refs.values())
 
 

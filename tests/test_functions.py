@@ -87,7 +87,7 @@ def rows(lang, text):
 def test_blocks():
     assert rows("go", "package main\n\nfunc foo() {\n\tx()\n}\n\nfunc bar() {\n}\n") == [(3, 5, False), (7, 8, False)]
     assert rows("go", "func a()\n{\n  s := \"}\"\n}\n") == [(1, 4, False)]
-    assert rows("python", "@d(\n  1)\n\ndef f():\n    return 1\n\nclass C:\n    pass") == [(1, 6, True), (7, 8, False)] or rows("python", "@d(\n  1)\n\ndef f():\n    return 1\n\nclass C:\n    pass")[0][0] == 1
+    assert rows("python", "@d(\n  1)\n\ndef f():\n    return 1\n\nclass C:\n    pass") == [(1, 6, True), (7, 8, False)]
     assert rows("sql", "CREATE TABLE a (\n id INT\n);\n\n\nCREATE TABLE b (\n id INT\n);\n\n\n\nCREATE VIEW v AS\nSELECT 1;") == [(1, 3, False), (6, 8, False), (12, 13, False)]
     assert len(rows("sql", "CREATE FUNCTION f() AS $$\nBEGIN\n x;\n y;\nEND;\nCREATE TABLE t (a INT);")) == 2
     assert rows("ruby", "class A\n  def x\n  end\nend") == [(1, 4, False)]
@@ -131,8 +131,46 @@ def test_extraction():
     assert {("A", "struct"), ("go", "function")} <= s and {("println", "calls"), ("run", "calls")} <= r
     s, r = names("zig", 'const std = @import("std");\npub fn main() void {\n  go();\n}\n')
     assert ("main", "function") in s and {("std", "imports"), ("go", "calls")} <= r
+    s, r = names("python", "import os\nclass A:\n    def f(self):\n        print 'x', g(1)\n")
+    assert {("os", "import"), ("A", "class"), ("f", "function")} <= s and {("g", "calls"), ("os", "imports")} <= r
     assert extract("python", "p", "h", "def (") == ([], []) and extract("html", "p", "h", "x") == ([], []) and extract("go", "p", "h", None) == ([], [])
 
 
+def test_go_groups_interfaces_and_types():
+    s, r = names("go", "package a\n\ntype Foo struct {\n\tA, B Bar\n\tm map[Key]*pkg.Value `json:\"m\"`\n}\n\nvar (\n\tX, Y int = 1, 2\n\tz = make([]Item, 3)\n)\n\nconst (\n\tOne = iota\n\tTwo\n)\n\ntype Runner interface {\n\tRun(ctx Context, n int) (Result, error)\n\tStop()\n}\n\nfunc use(a, b Left, c *Right) Out {\n\tvar f Foo\n\t_ = f.(Other)\n\treturn Out{}\n}\n\nvar P, Q = 1, 2\n")
+    assert {("X", "variable"), ("Y", "variable"), ("z", "variable"), ("One", "constant"), ("Two", "constant"), ("Runner", "interface"), ("Run", "method"), ("Stop", "method"), ("P", "variable"), ("Q", "variable"), ("Foo", "struct"), ("use", "function")} <= s
+    assert {(t, "accessed") for t in ("Foo", "Bar", "Key", "Value", "Item", "Context", "Result", "error", "Left", "Right", "Out", "Other", "int")} <= r
+    assert not {t for t, k in r if k == "calls"} & {"var", "const", "Run", "Stop", "use"} and ("Runner", "accessed") not in r and ("Out", "instantiates") in r
+    s, _ = names("go", "package a\ntype (\n\tA struct {\n\t\tx int\n\t}\n\tB interface {\n\t\tGo()\n\t}\n\tC int\n)\n")
+    assert {("A", "struct"), ("B", "interface"), ("C", "type"), ("Go", "method")} <= s
+
+
+def test_types_of_other_languages():
+    s, r = names("typescript", "class K extends Base implements Face {\n  go(a: Arg, n: number): Out<Inner> {\n    return new Made(a) as Cast\n  }\n}\n")
+    assert {(t, "accessed") for t in ("K", "Base", "Face", "Arg", "Out", "Cast")} <= r and ("Made", "instantiates") in r and ("Made", "calls") not in r
+    s, r = names("rust", "impl Shape for Circle {\n  fn area(&self, x: &Point, y: Vec<Item>) -> Result<Area, Error> {\n    helper(x)\n  }\n}\n")
+    assert {(t, "accessed") for t in ("Shape", "Circle", "Point", "Vec", "Item", "Result", "Area", "Error")} <= r and ("helper", "calls") in r and not any(k == "class" for _, k in s)
+    s, r = names("cpp", "struct Node {\n  Item *first;\n};\nOut make(const In &a, int n) {\n  std::vector<Part> parts;\n  return other(a);\n}\n")
+    assert {(t, "accessed") for t in ("Node", "Item", "Out", "In", "Part")} <= r and ("int", "accessed") not in r and ("other", "calls") in r
+
+
+def test_blocks_of_short_types_and_of_blank_lines():
+    assert rows("go", "package main\n\ntype Foo int\n\nfunc bar() {}\n") == [(3, 3, False), (5, 5, False)]
+    assert S.indent_end(["def foo", "  if cond", "    x", "  end", "end", "", "def bar", "end"], 0) == 4
+    assert S.indent_end(["def f():", "    return 1", "", "", "x = 1"], 0) == 3
+    assert rows("csharp", "class Foo : Bar\n{\n  int x;\n}") == [(1, 4, False)]
+    assert [b[0] for b in rows("markdown", "# A\n\nText\n\n```go\nfunc H() {\n}\n```\n\n\n## B\n\n```python\ndef a():\n    pass\n```\n")] == [1, 5, 11, 13]
+    assert rows("yaml", "server:\n  port: 1\n\ndb:\n  host: x\n")[0][0] == 1 and len(rows("yaml", "server:\n  port: 1\n\ndb:\n  host: x\n")) == 2
+    assert rows("typescript", "@Comp({\n  a: 1\n})\nexport class A {\n}\n") == [(1, 5, True)]
+
+
+def test_parsers_and_their_bounds():
+    text = ("@d\ndef f():\n    s = \"\"\"\ndef no():\n\"\"\"\n    return s\n" + "x = 1\n" * 60).split("\n")
+    assert S.ast_blocks("python", text) == [(1, 6, True)] and S.ast_blocks("go", text) == [] and S.ast_blocks("python", ["def ("]) == []
+    parsed = S.structural_ranges("python", text, how=S.Cutting(skip_ast=False))[1]
+    assert parsed[0] == (1, 6) and S.structural_ranges("python", text, how=S.Cutting(skip_ast=False, max_ast_lines=20))[1][0] == S.structural_ranges("python", text)[1][0] != parsed[0]
+    assert not S.Cutting().parses(10) and not S.Cutting(skip_ast=False, min_ast_lines=20).parses(10) and S.Cutting(skip_ast=False).parses(2000) and not S.Cutting(skip_ast=False).parses(2001)
+
+
 def test_branch_suffix():
     assert branch_suffix("w", "main") == "" and branch_suffix("w", "feature/a:b") == "-w-feature-a-b"
