@@ -46,6 +46,11 @@ def is_regex(query: str) -> bool:
 _POSIX = {"alnum": r"\p{Alnum}", "alpha": r"\p{Alpha}", "ascii": r"\p{ASCII}", "blank": r"\p{Blank}", "cntrl": r"\p{Cntrl}", "digit": r"\p{Digit}", "graph": r"\p{Graph}", "lower": r"\p{Lower}", "print": r"\p{Print}", "punct": r"\p{Punct}", "space": r"\s", "upper": r"\p{Upper}", "word": r"\w", "xdigit": r"\p{XDigit}"}
 
 
+def has_marks(query: Column) -> Column:
+    """is_regex of a column."""
+    return query.rlike("[" + "".join("\\" + c for c in sorted(REGEX_MARKS)) + "]")
+
+
 def java_regex(pattern: str, case_sensitive: bool = False) -> str:
     """An RE2 expression as Java reads it: word borders of ASCII words, folding beyond ASCII, named groups, POSIX classes, scripts, and brackets inside classes, which are literal. What RE2 lacks (look-around, back references, atomic groups) is refused."""
     out, i, inside = [], 0, False

@@ -27,12 +27,13 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict:
-    from lexiloom.plans import local  # noqa: F401  (queries without SQL)
+    from lexiloom.plans import local  # noqa: F401  (adds its queries)
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()  # all modules with queries
     return dict(_SQL)
 
 
@@ -725,11 +726,12 @@ def ag_max_norm_search(s, d):
 # -- whole runs ------------------------------------------------------------------------------------------
 
 
-@query("src_walk", f"WITH p AS ({_PATHS}) SELECT path, {_LANG_CASE} AS language FROM p WHERE {_LANG_CASE} IS NOT NULL AND NOT regexp_matches(path, '{patterns.ignore_regex()}') AND NOT starts_with(path, 'src/m1')")
+@query("src_walk", f"WITH p AS ({_PATHS}) SELECT path, {_LANG_CASE} AS language FROM p WHERE {_LANG_CASE} IS NOT NULL AND NOT regexp_matches(path, '{patterns.ignore_regex()}') AND NOT starts_with(path, 'src/m1/')")
 def src_walk(s, d):
     """What a walk keeps of a listing: known languages, nothing ignored, no submodule (sources.files.walk reads the files themselves)."""
-    known = paths(s, d).withColumn("language", patterns.language_of(F.col("path"))).filter("language is not null")
-    return known.filter(~F.col("path").rlike(patterns.ignore_regex()) & ~F.col("path").startswith("src/m1"))
+    from lexiloom.sources.files import kept
+
+    return kept(paths(s, d).withColumnRenamed("path", "rel_path"), ["src/m1", "src/m14"]).withColumnRenamed("rel_path", "path")
 
 
 _NOW = CHUNKS.replace("WHERE text IS NOT NULL)", "WHERE text IS NOT NULL AND doc_id % 11 <> 0)").replace("substr(sha256(text), 1, 16) AS hash", "CASE WHEN doc_id % 5 = 0 THEN 'changed' ELSE substr(sha256(text), 1, 16) END AS hash")
@@ -759,5 +761,4 @@ _QUERY_TEXTS = "SELECT conv_id, turn, coalesce(text, '') AS q FROM conversations
 
 @query("flt_is_regex", f"WITH c AS ({_QUERY_TEXTS}) SELECT conv_id, turn, regexp_matches(q, '[.*+?|()\\[\\]{{}}^$\\\\]') AS is_regex FROM c")
 def flt_is_regex(s, d):
-    q = F.coalesce("text", F.lit(""))
-    return table(s, d, "conversations").select("conv_id", "turn", q.rlike(r"[.*+?|()\[\]{}^$\\]").alias("is_regex"))
+    return table(s, d, "conversations").select("conv_id", "turn", patterns.has_marks(F.coalesce("text", F.lit(""))).alias("is_regex"))

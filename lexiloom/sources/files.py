@@ -18,9 +18,13 @@ def walk(spark: SparkSession, root: str, submodules: list[str] = (), ignored: tu
     plain = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.\-]*:/*(?=/)", "")
     tail = F.substr(plain, F.lit(len(base.split(":", 1)[-1].replace("///", "/")) + 2))
     rows = raw.select(F.lit(branch).alias("branch"), plain.alias("file_path"), tail.alias("rel_path"), F.col("length").alias("size"), "content")
+    return kept(rows, submodules, ignored).withColumns({"hash": file_hash(F.col("content")), "content": F.decode("content", "UTF-8")})
+
+
+def kept(rows: DataFrame, submodules: list[str] = (), ignored: tuple[str, ...] = IGNORED) -> DataFrame:
+    """What a walk keeps of a listing (rel_path): known languages, nothing ignored, no submodule; with the language."""
     rows = rows.withColumn("language", language_of(F.col("rel_path"))).filter(F.col("language").isNotNull() & ~F.col("rel_path").rlike(ignore_regex(tuple(ignored))))
-    rows = without_submodules(rows, submodules)
-    return rows.withColumns({"hash": file_hash(F.col("content")), "content": F.decode("content", "UTF-8")})
+    return without_submodules(rows, submodules)
 
 
 def without_submodules(files: DataFrame, folders: list[str]) -> DataFrame:

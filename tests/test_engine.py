@@ -174,3 +174,22 @@ def test_the_steps_of_a_start(spark, tmp_path):
     assert [r[0] for r in index.refs_missing(spark, walk("dev"), other).collect()] == ["a.go"] and index.refs_missing(spark, walk("dev"), other).count() == 0
     assert not index.ignore_changed(spark, other, (), ("c.go",)) and index.ignore_changed(spark, other, ("c.go",), ("b.go",))
     assert [r[0] for r in Engine(spark, other, "dev", embed).list_files().collect()] == ["a.go"]
+
+
+def test_what_git_knows(tmp_path):
+    import subprocess
+
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=n", "-c", "user.email=e@x", *a], check=True, capture_output=True)
+    git("init", "-b", "main")
+    (tmp_path / "a.go").write_text("package a\n")
+    git("add", "."), git("commit", "-m", "one")
+    first = sources.head_sha(str(tmp_path))
+    git("checkout", "-b", "dev")
+    (tmp_path / "b.go").write_text("package b\n")
+    git("add", "."), git("commit", "-m", "two")
+    (tmp_path / "a.go").write_text("package c\n")
+    (tmp_path / "new.go").write_text("package d\n")
+    root = str(tmp_path)
+    assert len(first) == 40 and sources.branch_name(root) == "dev" and sources.branch_exists(root, "main") and not sources.branch_exists(root, "none") and set(sources.local_branches(root)) == {"main", "dev"}
+    assert sources.merge_base(root, "main", "dev") == first and set(sources.changed_files(root, first)) == {"a.go", "b.go", "new.go"} and set(sources.changed_files(root)) == {"a.go", "new.go"}
+    assert sources.worktree_name(root) == tmp_path.name and sources.head_sha(str(tmp_path.parent)) in ("", first)
