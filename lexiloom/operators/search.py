@@ -39,11 +39,10 @@ def knn(vectors: DataFrame, query: list[float], k: int = 25, metric=l2, repeated
 
 
 def knn_many(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256) -> DataFrame:
-    """query_id, chunk_id, distance, rank for each of a stated set of queries (query_id, query): block by block against all rows, ranks limited before the shuffle."""
-    ids = queries.select("query_id").distinct().orderBy("query_id").collect()
-    parts = []
-    for a in range(0, max(1, len(ids)), block):
-        own = queries.filter(F.col("query_id").isin([r[0] for r in ids[a : a + block]]))
+    """query_id, chunk_id, distance, rank for each of a stated set of queries (query_id, query): block by block (about so many queries each, by hash) against all rows, ranks limited before the shuffle."""
+    blocks, parts = max(1, -(-queries.count() // block)), []
+    for b in range(blocks):
+        own = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         near = vectors.crossJoin(F.broadcast(own)).select("query_id", "chunk_id", F.round(l2(F.col("vector"), F.col("query")), 6).alias("distance"))
         rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "chunk_id"))
         parts.append(near.withColumn("rank", rank).filter(F.col("rank") <= k))
