@@ -344,7 +344,7 @@ class CompiledTokenizer:
             return text
         if not text.isascii():
             # Versions of Unicode differ in what has a lower case and in what NFC moves or composes: such texts are left to the file's own normaliser.
-            if not unicodedata.is_normalized("NFC", text) or _unassigned().search(text):
+            if not unicodedata.is_normalized("NFC", text) or _unassigned(text):
                 return self._normalizer.normalize_str(text)
             text = text.replace("Σ", "σ")
         return text.lower()
@@ -445,12 +445,17 @@ class CompiledTokenizer:
 
 
 @functools.lru_cache(1)
-def _unassigned() -> re.Pattern:
-    """Code points without a category in Python's Unicode version."""
-    none = [c for c in range(0x80, 0x110000) if unicodedata.category(chr(c)) == "Cn"]
+def _perhaps() -> re.Pattern:
+    """Code points without a category in Python's Unicode version, and any beyond the first plane: a class of that plane is one look-up a character."""
+    none = [c for c in range(0x80, 0x10000) if unicodedata.category(chr(c)) == "Cn"]
     starts = [c for c, before in zip(none, [-1, *none]) if c != before + 1]
     ends = [c for c, after in zip(none, [*none[1:], -1]) if c + 1 != after]
-    return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends)) + "]")
+    return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends)) + "\U00010000-\U0010ffff]")
+
+
+def _unassigned(text: str) -> bool:
+    """Whether a text has a code point that Python does not know."""
+    return bool(_perhaps().search(text)) and any(unicodedata.category(c) == "Cn" for c in set(text))
 
 
 @functools.lru_cache(4)

@@ -130,7 +130,9 @@ def fit_languages(labelled: DataFrame, text: str = "text", lang: str = "lang", k
     """
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.col(key).alias("key"))
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    counts = labelled.sparkSession.createDataFrame(counts.collect(), "lang string, n long")  # a row a label
+    known = counts.collect()  # a row a label
+    counts = labelled.sparkSession.createDataFrame(known, "lang string, n long")
+    counts = F.broadcast(counts) if len(known) <= 100_000 else counts
     spot = F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     picked = rows.join(counts, "lang").filter(spot * F.col("n") < a_label).select("lang", "text")
 
