@@ -73,7 +73,7 @@ def _trimmed() -> None:
 
     import pyarrow as pa
 
-    gc.collect()
+    gc.collect(1)  # what is young: a whole collection would walk all that a compiled tokenizer holds
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
