@@ -1,4 +1,4 @@
-"""Building and renewing an index: files to chunks, vectors, symbols and references, each table kept as versions; and the steps by which an index is brought up to date."""
+"""Building and renewing an index: files to chunks, vectors, symbols and references, each table kept as versions of parts by path; and the steps by which an index is brought up to date."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ NAMES = ("chunks", "vectors", "symbols", "refs", "postings", "lengths")
 
 
 def built(files: DataFrame, embed=None, size: int = 50, overlap: int = 10) -> dict[str, DataFrame]:
-    """The tables of a listing of files (branch, file_path, rel_path, language, hash, content). Postings are sorted by term, so a search reads the row groups of its terms."""
+    """The tables of a listing of files (branch, file_path, rel_path, language, hash, content). Postings are stored sorted by term, so a search reads the row groups of its terms."""
     where = files.select("branch", "file_path", "rel_path")
     chunks = structural_chunks(files, size, overlap).join(where, "rel_path")
     place = chunks.select("id", "branch", "rel_path")
@@ -27,18 +27,25 @@ def built(files: DataFrame, embed=None, size: int = 50, overlap: int = 10) -> di
     return own | {"postings": postings(chunks).join(place, "id"), "lengths": document_lengths(chunks).join(place, "id")}
 
 
-def _written(name: str, rows: DataFrame, path: str) -> None:
-    rows = rows.repartitionByRange("term").sortWithinPartitions("term") if name == "postings" else rows
-    tables.overwrite(rows, f"{path}/{name}")
+#: Postings lie sorted by this column in each part.
+ORDER = {"postings": "term"}
+
+
+def _touched(paths: DataFrame) -> list[int]:
+    """The parts in which rows with these paths lie: tables.PARTS at most."""
+    return [r[0] for r in paths.select(tables.part_of().alias("part")).distinct().collect()]
 
 
 def index_all(files: DataFrame, path: str, embed=None) -> None:
     for name, rows in built(files, embed).items():
-        _written(name, rows, path)
+        tables.overwrite_parts(rows, f"{path}/{name}", by=ORDER.get(name))
 
 
 def index_changed(spark: SparkSession, files: DataFrame, path: str, embed=None) -> DataFrame:
-    """Renews only what differs by content hash, and drops what is gone; returns the changes (rel_path, change). The changes are written to the shared folder once and stay a table; if there are none, no table is."""
+    """Renews only what differs by content hash, and drops what is gone; returns the changes (rel_path, change). Only the parts in which changed files lie are read and written again.
+
+    The changes are written to the shared folder once and stay a table; if there are none, nothing else is written.
+    """
     old = tables.read(spark, f"{path}/chunks").select("rel_path", F.col("file_hash").alias("hash")).distinct()
     at = shared_dir(spark)
     tables.snapshot_diff(old, files.filter("content <> ''")).write.parquet(at)
@@ -46,9 +53,9 @@ def index_changed(spark: SparkSession, files: DataFrame, path: str, embed=None)
     if diff.isEmpty():
         return diff
     renewed = files.join(diff.filter("change <> 'deleted'").select("rel_path"), "rel_path", "left_semi")
+    parts = _touched(diff)
     for name, rows in built(renewed, embed).items():
-        kept = tables.delete_paths(tables.read(spark, f"{path}/{name}"), diff)
-        _written(name, kept.unionByName(rows), path)
+        tables.renew(spark, f"{path}/{name}", parts, lambda old, rows=rows: tables.delete_paths(old, diff).unionByName(rows), ORDER.get(name))
     return diff
 
 
@@ -64,7 +71,8 @@ def refs_missing(spark: SparkSession, files: DataFrame, path: str) -> DataFrame:
         own = files.join(gap, "rel_path", "left_semi")
         where = own.select("branch", "file_path", "rel_path")
         for name, rows in (("symbols", extract_symbols(own)), ("refs", extract_refs(own))):
-            _written(name, tables.replace_files(tables.read(spark, f"{path}/{name}"), rows.join(where, "rel_path")), path)
+            new = rows.join(where, "rel_path")
+            tables.renew(spark, f"{path}/{name}", _touched(gap), lambda old, new=new: tables.delete_paths(old, gap).unionByName(new), ORDER.get(name))
     return gap
 
 
@@ -72,7 +80,9 @@ def ignore_changed(spark: SparkSession, path: str, before: tuple[str, ...], afte
     """What a change of ignore rules asks for: rows of files that are ignored now are dropped at once; true if some files are no longer ignored, so that the tree has to be read again."""
     hidden = F.col("rel_path").rlike(ignore_regex(after))
     for name in NAMES:
-        _written(name, tables.read(spark, f"{path}/{name}").filter(~hidden), path)
+        parts = _touched(tables.read(spark, f"{path}/{name}").filter(hidden))
+        if parts:
+            tables.renew(spark, f"{path}/{name}", parts, lambda old: old.filter(~hidden), ORDER.get(name))
     return not set(before) <= set(after)
 
 
@@ -95,7 +105,7 @@ def start(spark: SparkSession, files: DataFrame, path: str, sha: str = "", seeds
         best = tables.pick_source(spark.createDataFrame(sized, "branch string, records long, has_sha boolean, ord int")).first()["branch"]
         branch = files.select("branch").first()["branch"]
         for name in NAMES:
-            _written(name, tables.read(spark, f"{sources[best]}/{name}").withColumn("branch", F.lit(branch)), path)
+            tables.overwrite_parts(tables.read(spark, f"{sources[best]}/{name}").withColumn("branch", F.lit(branch)), f"{path}/{name}", by=ORDER.get(name))
         how = "seeded"
     if cancelled():
         return "cancelled"

@@ -153,6 +153,31 @@ def test_a_run_that_stops_leaves_the_last_version(spark, tmp_path):
     assert sorted(r[0] for r in tables.read(spark, path).collect()) == [1, 2, 3, 4] and len(tables.versions(spark, path)) == 2
 
 
+def test_parts_are_renewed_alone(spark, tmp_path):
+    path, made = f"file://{tmp_path}/t", lambda rows: spark.createDataFrame(rows, "rel_path string, x int")
+    rows = [(f"f{k}", k) for k in range(300)]
+    shown = lambda: sorted(map(tuple, tables.read(spark, path).collect()))
+    tables.overwrite_parts(made(rows), path)
+    assert shown() == sorted(rows)
+    part = made(rows[:1]).select(tables.part_of()).first()[0]
+    own = {r["rel_path"] for r in tables.read(spark, path, parts=[part]).collect()}
+    assert own == {r["rel_path"] for r in made(rows).filter(tables.part_of() == part).collect()} and "f0" in own
+    (tmp_path / "t" / f"v=1-{1 << part:x}").mkdir()  # a run that stopped
+    assert shown() == sorted(rows)
+    before = set((tmp_path / "t").glob("v=0-*/part=*/*"))
+    tables.renew(spark, path, [part], lambda old: old.filter("x > 0"))
+    assert shown() == sorted(rows[1:]) and before == set((tmp_path / "t").glob("v=0-*/part=*/*"))
+    assert {f.name for f in (tmp_path / "t").glob("v=1-*/part=*")} <= {f"part={part}"}
+    for _ in range(3):  # a part that ends up empty, again and again; versions that nothing needs go
+        tables.renew(spark, path, [part], lambda old: old.limit(0))
+    assert shown() == [r for r in sorted(rows) if r[0] not in own] and tables.versions(spark, path) == [4, 3, 0]
+    tables.overwrite(tables.read(spark, path).filter("x < 9"), path)
+    tables.renew(spark, path, [part], lambda old: old.filter("x < 7"))  # not in parts before: all of it
+    assert shown() == [r for r in sorted(rows) if r[1] < 7 and r[0] not in own]
+    tables.overwrite_parts(made([]), path)
+    assert shown() == [] and tables.read(spark, path).columns == ["rel_path", "x"]
+
+
 def test_the_steps_of_a_start(spark, tmp_path):
     root, store = tmp_path / "src", f"file://{tmp_path}/index"
     root.mkdir()
