@@ -9,7 +9,8 @@ looked up in one lot after the other, so that what is broadcast at a time is bou
 The model, of whole words and one end a text, mixes for a word w after h
 count(w) / all, 1 / (V + 1) for each known word and one for all others, 1 for these others, and count(h w) / count(h). All unknown words are one
 outcome, as in add-one smoothing with V + 1 slots; numerators are rounded down and denominators up, so the outcomes sum to one at most.
-The weights depend on how frequent h is; they are fitted by expectation maximisation on a sample of training texts, each token left out of its own counts.
+The weights depend on how frequent h is; they are fitted by expectation maximisation on every token of the training texts, each left out of its own counts.
+A token's part in both the fit and the score is told by three levels (of it, its pair, the word before), so texts are looked up once and the fit needs only how often each such triple occurs.
 """
 
 from __future__ import annotations
@@ -30,8 +31,9 @@ HEAD = 1_000_000
 FILTER_BITS, BITS, PROBES = 1 << 30, 8, 5
 #: Tokens for each bucket of grams, buckets at most, and pairs that a task counts at a time.
 BUCKET, BUCKETS, _HELD = 200_000, 1 << 20, 2_000_000
-#: Distinct training texts, about, that the mixture's weights are fitted on; whole texts, chosen by hash in proportion.
-TUNING = 400
+#: Levels are below 2**7, as 127 is that of a count of 2**63. Triples of levels, as one number each.
+_LEVEL_BITS = 7
+TRIPLES = 1 << 3 * _LEVEL_BITS
 WORD, PAIR = range(2)
 #: An end of a text counts as this word, which no text has.
 END_WORD = b"\n"
@@ -184,6 +186,18 @@ class Model:
         return np.log10(np.maximum((parts * self.weights[side]).sum(axis=1), 1e-300))
 
 
+def coded(seen: np.ndarray) -> np.ndarray:
+    """One number for each row of three levels."""
+    levels = seen.astype(np.int32)
+    return levels[:, 0] << 2 * _LEVEL_BITS | levels[:, 1] << _LEVEL_BITS | levels[:, 2]
+
+
+def decoded(codes: np.ndarray) -> dict[str, np.ndarray]:
+    """The levels (see looked_up) of numbers made by coded."""
+    last = (1 << _LEVEL_BITS) - 1
+    return {"word": codes >> 2 * _LEVEL_BITS, "pair": codes >> _LEVEL_BITS & last, "before": codes & last}
+
+
 def looked_up(lot: LogBloom, keys: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
     """What one lot knows of each token: the levels of it, of its pair with the word before, and of the word before."""
     own, back = np.unique(keys, return_inverse=True)
@@ -317,6 +331,17 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return stored(rows.groupBy("key").agg(F.sum("n").alias("n")))
 
 
+def _binary(seen: dict[str, np.ndarray], ends: np.ndarray) -> pa.Array:
+    """The levels of each text's tokens, three bytes a token."""
+    data = np.stack(list(seen.values()), axis=1).astype(np.uint8)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer((np.append(0, ends) * 3).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def _levels_of(column: pa.Array) -> np.ndarray:
+    """The three levels of each token of a column made by _binary."""
+    return np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x.as_buffer(), np.uint8) for x in column)]).reshape(-1, 3)
+
+
 def _looked_up(rows: DataFrame, shared, at: int, last, schema: str | None = None) -> DataFrame:
     """Looks the texts (column at) up in a lot. Levels of earlier lots come in a last column ``seen``, three bytes a token; with last, what it makes of a slice is returned, else rows with seen."""
     names = rows.columns
@@ -327,14 +352,12 @@ def _looked_up(rows: DataFrame, shared, at: int, last, schema: str | None = None
             keys, ends = tokens_of(batch.column(at).to_pylist())
             seen = looked_up(shared.value, keys, ends)
             if has:  # a gram is in one lot, so the larger of two levels is its own
-                flat = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column(len(names) - 1)]).reshape(-1, 3)
+                flat = _levels_of(batch.column(len(names) - 1))
                 seen = {k: np.maximum(v, flat[:, i]) for i, (k, v) in enumerate(seen.items())}
             if last is not None:
                 yield last(batch, keys, ends, seen)
             else:
-                data = np.stack(list(seen.values()), axis=1).astype(np.uint8)
-                column = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer((np.append(0, ends) * 3).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
-                yield pa.record_batch([*(batch.column(i) for i in range(len(names) - has)), column], names=[*names[: len(names) - has], "seen"])
+                yield pa.record_batch([*(batch.column(i) for i in range(len(names) - has)), _binary(seen, ends)], names=[*names[: len(names) - has], "seen"])
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "seen"]
     return mapped(rows, work, schema or ", ".join([*kinds, "seen binary"]))
@@ -348,76 +371,102 @@ def through(rows: DataFrame, lots: Lots, last, schema: str, at: int = 1) -> Data
     return rows
 
 
-def tuned(model: Model, sample: DataFrame, lots: Lots, rounds: int = 30) -> None:
-    """Fits the weights on the texts of a sample; tasks return how often each (rounded) tuple of probabilities occurs."""
-    shared = sample.sparkSession.sparkContext.broadcast(model)
+def triples_of(seen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Which triples of levels (as numbers, see coded) occur in a column ``seen`` of texts, and how often: summed by tasks, at most TRIPLES rows each."""
 
-    def last(batch, keys, ends, seen):
-        parts, side = shared.value.parts(seen, left_out=1)
-        rounded = np.round(np.log10(np.maximum(parts, 1e-30)), 1)
-        own, n = np.unique(np.column_stack([side, rounded]), axis=0, return_counts=True)
-        return pa.record_batch([*(pa.array(own[:, i]) for i in range(5)), pa.array(n)], names=["side", "a", "b", "c", "d", "n"])
-
-    rows = through(sample.select(F.lit(0).alias("none"), "text"), lots, last, "side double, a double, b double, c double, d double, n long")
-    got = rows.groupBy("side", "a", "b", "c", "d").agg(F.sum("n").alias("n")).toPandas().sort_values(["side", "a", "b", "c", "d"])
-    shared.destroy()
+    def work(batches):
+        total = np.zeros(TRIPLES, np.int64)
+        for batch in batches:
+            total += np.bincount(coded(_levels_of(batch.column(0))), minlength=TRIPLES)
+        codes = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(codes.astype(np.int32)), pa.array(total[codes])], names=["code", "n"])
+
+    got = mapped(seen.select("seen"), work, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    codes, n = got.column("code").to_numpy(), got.column("n").to_numpy()
+    order = np.argsort(codes)
+    return codes[order], n[order]
+
+
+def tuned(model: Model, codes: np.ndarray, n: np.ndarray, rounds: int = 30) -> None:
+    """Fits the weights on all tokens of the training texts: n of each triple of levels."""
+    parts, sides = model.parts(decoded(codes), left_out=1)
+    parts = np.maximum(parts, 1e-30)
     for side in range(_SIDES):
-        own = got[got.side == side]
-        parts, n = 10.0 ** own[["a", "b", "c", "d"]].to_numpy(), own["n"].to_numpy(float)
+        on = sides == side
+        own, times = parts[on], n[on].astype(float)
         w = model.weights[side]
         for _ in range(rounds if len(own) else 0):
-            mine = parts * w
-            w = ((mine / mine.sum(axis=1, keepdims=True)) * n[:, None]).sum(axis=0) / n.sum()
+            mine = own * w
+            w = ((mine / mine.sum(axis=1, keepdims=True)) * times[:, None]).sum(axis=0) / times.sum()
         model.weights[side] = 0.999 * w + 0.001 * model.weights[side]
 
 
-def score_texts(docs: DataFrame, training: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: dict[str, Column] | None = None, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """doc_id, the keep expressions, n_tokens, n_known, train_tokens, base_score and score of every whole text of docs, learnt from training.
+def score_texts(docs: DataFrame, training: DataFrame | Column, doc_id: str = "doc_id", text: str = "text", keep: dict[str, Column] | None = None, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """doc_id, the keep expressions, n_tokens, n_known, train_tokens, base_score and score of every whole text of docs, learnt from training: a table, or a condition that tells which rows
+    of docs it is. With a condition texts are looked up once, for the fit of the weights and for the scores.
 
     base_score is add-one over exact counts. The counts of at most HEAD frequent words are
     broadcast; tokens of other words, none of which is frequent, are joined with the table of all counts, a row a token. Null counts
     as empty: its end is scored. Texts of any length are read whole, in slices; repeated rows stay apart, null ids pass through, an empty table gives an empty
     one. With an empty training table every token is the one unknown outcome. A null doc_id is a row like any other. filter_bits: of a lot of the filter at most.
     """
+    learnt = training if isinstance(training, Column) else None
+    if learnt is not None:
+        training = docs.filter(learnt)
     words = word_counts(training, text)
     n, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     buckets = 1 << max(0, min(BUCKETS, -(-n // BUCKET)) - 1).bit_length()
     lots = Lots(gathered(words, training, text, buckets), buckets, filter_bits)
-    model = Model(*head_of(words), int(n), int(distinct), np.array([[0.7, 0.2, 0.1, 0.0]] + [[0.4, 0.1, 0.1, 0.4]] * (_SIDES - 1)))
-
-    texts = training.select(F.col(text).cast("string").alias("text")).filter("text is not null")
-    hashed = texts.withColumn("h", F.xxhash64("text"))
-    share = max(1, (words.filter(F.col("key") == END).agg(F.sum("n")).first()[0] or 0) // TUNING)
-    sample = hashed.filter(F.pmod(F.xxhash64("h"), F.lit(share)) == 0).dropDuplicates(["h"])
-    tuned(model, sample, lots)
-
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    head, head_counts = head_of(words)
+    shared = docs.sparkSession.sparkContext.broadcast((head, head_counts))
     more = keep or {}
-    names = ["doc_id", "_row", *more]
-    below = np.log10(model.tokens + model.distinct + 1)
+    names = ["doc_id", "_row", *more, "_learnt"]
 
     def last(batch, keys, ends, seen):
-        m = shared.value
-        at = find(keys, m.head)
+        head, counts = shared.value
+        at = find(keys, head)
         begins = np.append(0, ends[:-1])
         sums = lambda x: np.add.reduceat(x, begins)
-        base = sums(np.where(at >= 0, np.log10(m.head_counts[at] + 1.0) if len(m.head) else 0.0, 0.0))
+        base = sums(np.where(at >= 0, np.log10(counts[at] + 1.0) if len(head) else 0.0, 0.0))
         tail = np.append(0, np.cumsum(at < 0))
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, tail[ends]).astype(np.int32)), pa.array(keys[at < 0]))
-        cols = [pa.array(ends - begins), pa.array(sums((at >= 0).astype(np.int64))), pa.array(base), pa.array(sums(m.logs(seen))), lists]
-        return pa.record_batch([batch.column(0), *(batch.column(i) for i in range(2, 2 + len(names) - 1)), *cols], names=[*names, "n_tokens", "known", "base", "score", "tail"])
+        cols = [pa.array(ends - begins), pa.array(sums((at >= 0).astype(np.int64))), pa.array(base), lists, _binary(seen, ends)]
+        return pa.record_batch([batch.column(0), *(batch.column(i) for i in range(2, 2 + len(names) - 1)), *cols], names=[*names, "n_tokens", "known", "base", "tail", "seen"])
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("_the_text"), F.monotonically_increasing_id().alias("_row"), *[c.alias(k) for k, c in more.items()])
+    rows = docs.select(
+        F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("_the_text"), F.monotonically_increasing_id().alias("_row"), *[c.alias(k) for k, c in more.items()],
+        (F.lit(False) if learnt is None else F.coalesce(learnt, F.lit(False))).alias("_learnt"),
+    )
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in names], "n_tokens long, known long, base double, score double, tail array<long>"])
-    scored = through(rows, lots, last, schema)
-    tokens = model.tokens
-    shared.destroy()  # all is scored: neither counts nor filter are held any longer
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in names], "n_tokens long, known long, base double, tail array<long>, seen binary"])
+    met = through(rows, lots, last, schema)
+    if learnt is not None:
+        seen = met.filter("_learnt")
+    else:
+        seen = through(training.select(F.lit(0).alias("none"), F.col(text).cast("string").alias("text")), lots, lambda batch, keys, ends, seen: pa.record_batch([_binary(seen, ends)], names=["seen"]), "seen binary")
+    shared.destroy()  # all is looked up: neither counts nor filter are held any longer
     lots.close()
-    tail = scored.select("_row", F.explode("tail").alias("key")).join(words, "key")
+
+    model = Model(head, head_counts, int(n), int(distinct), np.array([[0.7, 0.2, 0.1, 0.0]] + [[0.4, 0.1, 0.1, 0.4]] * (_SIDES - 1)))
+    tuned(model, *triples_of(seen))
+    logs = docs.sparkSession.sparkContext.broadcast(np.concatenate([model.logs(decoded(c)) for c in np.split(np.arange(TRIPLES), 1 << _LEVEL_BITS)]))
+    kept = ["doc_id", "_row", *more, "n_tokens", "known", "base"]
+
+    def scores(batches):
+        for batch in (b for b in batches if b.num_rows):
+            levels = _levels_of(batch.column(len(kept)))
+            begins = np.append(0, np.cumsum(batch.column(kept.index("n_tokens")).to_numpy())[:-1])
+            score = np.add.reduceat(logs.value[coded(levels)], begins)
+            yield pa.record_batch([*(batch.column(i) for i in range(len(kept))), pa.array(score)], names=[*kept, "score"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in met.schema}
+    scored = stored(mapped(met.select(*kept, "seen"), scores, ", ".join([*[f"`{k}` {kinds[k]}" for k in kept], "score double"])))
+    logs.destroy()
+    tail = met.select("_row", F.explode("tail").alias("key")).join(words, "key")
     rest = tail.groupBy("_row").agg(F.count("*").alias("_more"), F.sum(F.log10(F.col("n") + 1.0)).alias("_logs"))
-    out = scored.drop("tail").join(rest, "_row", "left")
+    out = scored.join(rest, "_row", "left")
+    below = np.log10(n + distinct + 1)
     return out.select(
-        "doc_id", *more, "n_tokens", (F.col("known") + F.coalesce("_more", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
+        "doc_id", *more, "n_tokens", (F.col("known") + F.coalesce("_more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(below))).alias("base_score"), "score",
     )

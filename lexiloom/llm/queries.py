@@ -81,7 +81,7 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     held_out = held("doc_id", 7, 2)
-    return score_texts(docs, docs.filter(~held_out), keep={"held_out": held_out})
+    return score_texts(docs, ~held_out, keep={"held_out": held_out})
 
 
 def list_changes(pages: DataFrame) -> DataFrame:

@@ -175,3 +175,28 @@ def test_scores(spark, awkward, empty, monkeypatch):
     assert len(odd) == awkward.count() and all(math.isfinite(r["score"]) for r in odd)
     assert len(L.score_texts(awkward, empty).collect()) == awkward.count()
     assert L.score_texts(empty, awkward).count() == 0
+
+
+def test_weights_are_fitted_on_every_training_text(spark):
+    """Against expectation maximisation in plain Python over all tokens of 1,500 texts, by the filter's levels; training as a table or as a condition."""
+    g = np.random.default_rng(8)
+    texts = [" ".join(f"w{int(x)}" for x in (g.zipf(1.3, 12) % 500 if i % 2 else g.integers(0, 3000, 30))) for i in range(2000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    training = docs.filter("doc_id % 4 <> 2")
+    words = L.word_counts(training)
+    n, distinct = words.selectExpr("sum(n)", "count(*)").first()
+    buckets = 1 << max(0, -(-n // L.BUCKET) - 1).bit_length()
+    lot = L.Lots(L.gathered(words, training, "text", buckets), buckets, 1 << 30).lot(0)
+    start = np.array([[0.7, 0.2, 0.1, 0.0]] + [[0.4, 0.1, 0.1, 0.4]] * (L._SIDES - 1))
+    model = L.Model(np.zeros(0, np.int64), np.zeros(0, np.int64), n, distinct, start.copy())
+    parts, side = model.parts(L.looked_up(lot, *L.tokens_of([t for i, t in enumerate(texts) if i % 4 != 2])), left_out=1)
+    for k in range(L._SIDES):
+        own, w = np.maximum(parts[side == k], 1e-30), start[k]
+        for _ in range(30 if len(own) else 0):
+            w = (own * w / (own * w).sum(axis=1, keepdims=True)).mean(axis=0)
+        model.weights[k] = 0.999 * w + 0.001 * start[k]
+    keys, ends = L.tokens_of(texts)
+    want = np.add.reduceat(model.logs(L.looked_up(lot, keys, ends)), np.append(0, ends[:-1]))
+    for learnt in (training, F.col("doc_id") % 4 != 2):
+        got = {r["doc_id"]: r["score"] for r in L.score_texts(docs, learnt).collect()}
+        assert np.allclose([got[i] for i in range(len(texts))], want, rtol=1e-9)
