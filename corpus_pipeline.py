@@ -16,7 +16,7 @@ from lexiloom.llm.decontaminate import find_items
 from lexiloom.llm.exact_dedup import exact_dedup
 from lexiloom.llm.packing import pack
 from lexiloom.llm.quality import fit_quality, rated
-from lexiloom.llm.simhash import near_duplicates
+from lexiloom.llm.simhash import near_copies
 
 
 def whole_row(docs: DataFrame):
@@ -35,9 +35,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays (null last)."""
+    """Of each group of near copies, by SimHash fingerprints and by sets of shingles, the document with the smallest doc_id stays (null last). Texts without words are copies of each other."""
     rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), whole_row(docs).alias("doc")))
-    groups = near_duplicates(rows.select("row", F.col("doc.text").alias("text")), doc_id="row").select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    groups = near_copies(rows.select("row", F.col("doc.text").alias("text")), doc_id="row").select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
     ids = rows.select("row", F.col("doc.doc_id").alias("id"))
     groups = stored(ids.join(groups, "row"))
     stays = groups.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "row"))["row"].alias("row"))

@@ -2,7 +2,7 @@
 
 A fingerprint is cut into segments, each with a table of its own. Small balls about the segments are
 looked up in the tables, and complete distances of what is met there are verified. Near duplicates by the similarity of their shingles take the first shingles of each
-set instead (prefix filtering), which loses no pair.
+set instead (prefix filtering), which loses no pair. ``near_copies`` links by both.
 """
 
 from __future__ import annotations
@@ -368,3 +368,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     others = _verified(stored(_other_candidates(members, _classes(rows, near), similarity)), rows, bare, words, similarity)
     near = near.unionByName(others)
     return components(near).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+
+
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and component_id of every document that has a near copy; doc_id must be unique and not null.
+
+    Two texts are near copies if their SimHash fingerprints differ in 2 bits at most (see simhash_classes). Fingerprints lose
+    pairs whose sets of shingles are similar all the same, so links of near_duplicates, which loses none, join them. Both go over all
+    documents, not over what stands for a class, so no link of either is lost.
+    """
+    found = [simhash_classes(docs, doc_id, text), near_duplicates(docs, doc_id, text)]
+    near = reduce(DataFrame.unionByName, [f.select(F.col("doc_id").alias("u"), F.col("component_id").alias("v")) for f in found])
+    return components(near).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))

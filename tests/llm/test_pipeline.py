@@ -22,6 +22,14 @@ def test_near_copies_go_and_one_stays(spark):
     assert sorted(kept, key=str) == [100, 7, None]
 
 
+def test_near_copies_by_fingerprints_go(spark):
+    """Most of each text is one passage, and so is its fingerprint; as sets of shingles the texts are far apart."""
+    passage = " ".join(f"p{i}x{i * 7919 % 101}" for i in range(31))
+    texts = [" ".join([passage] * 40 + [f"t{k}y{i}" for i in range(24)]) for k in range(3)] + [" ".join(f"o{i}" for i in range(200))]
+    docs = stored(spark.createDataFrame([(10 - i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long"))
+    assert sorted(r["doc_id"] for r in C.near(spark, docs, "").collect()) == [7, 8]
+
+
 def test_run(spark):
     out = C.run(spark, "/root/testdata/sf0.001")
     assert 0 < out.select("doc_id").distinct().count() < 200
