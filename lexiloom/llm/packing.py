@@ -12,9 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped
+from .common import mapped, slices
 from .fst_tokenizer import compiled
 
+#: Bytes of text that a worker encodes at a time.
+_SLICE = 1_000_000
+
 
 def pieces_of(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document index, start and length of every piece, in order. limit: a power of two."""
@@ -48,7 +51,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary
 
     A null or empty text is the end id alone: one piece of one token. The ids are those of the
     tokenizers library (see fst_tokenizer). sequence_id is unique; it follows the rows of the
-    input, so repeated rows and equal or null doc_ids get sequences of their own. A task holds a batch at a time;
+    input, so repeated rows and equal or null doc_ids get sequences of their own. A task holds a slice of a batch at a time;
     no shuffle. Write by bucket with ``write_buckets``.
     """
     if limit < 1 or limit & (limit - 1):
@@ -56,9 +59,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary
 
     def run(batches):
         machine = compiled(vocabulary)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (s for b in batches for s in slices(b, 1, _SLICE)):
             ids, lengths = with_end(*machine.encode(batch.column(1).to_pylist()), end_id)
             doc, start, size = pieces_of(lengths, limit)
             ends = np.append(0, np.cumsum(size)) * 4
