@@ -196,6 +196,8 @@ def simhash_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 CELLS, SEEN = 1 << 22, 3
 #: Bits of a set's sketch, and members of a block of a long row: two blocks are compared at a time.
 SKETCH, BLOCK = 1024, 256
+#: While rows of more members than this are of several classes, each of their members is verified against its nearest before all pairs are.
+CROWD = 16
 #: Parts of the candidate pairs, verified one after the other: what one shuffles is given back before the next.
 PARTS = 4
 
@@ -274,15 +276,9 @@ def _classes(rows: DataFrame, near: DataFrame) -> DataFrame:
     return stored(rows.join(classes, "doc_id", "left").select("doc_id", "size", "segments", F.coalesce("class", "doc_id").alias("class")))
 
 
-def _other_candidates(members: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
-    """All pairs u > v of different classes that share a key, but those whose sizes, places of the key or sketches rule the similarity out.
-
-    A row of n members is cut into blocks by hash, and each two blocks are compared in a task's memory, so no row is too long.
-    """
-    met = members.drop("size").join(known, "doc_id")
-    rows = met.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = met.join(rows, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    groups = dealt.groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.struct("doc_id", "class", "size", "pos", "block", "segments")).alias("all"))
+def _compared(groups: DataFrame, kind: str, similarity: float, nearest: bool) -> DataFrame:
+    """Pairs u > v of different classes (and of different blocks, if i and j of a group differ) of its members (all), but those whose sizes, places of
+    the key or sketches rule the similarity out; nearest: for each document of a batch only the one that is likeliest by the sketches (apart: differing bits a shingle)."""
     need = similarity / (1 + similarity)
 
     def run(batches):
@@ -293,7 +289,7 @@ def _other_candidates(members: DataFrame, known: DataFrame, similarity: float) -
                 size, pos, block = (rows.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("size", "pos", "block"))
                 of = rows.field("class").dictionary_encode().indices.to_numpy(zero_copy_only=False)
                 prints = rows.field("segments").flatten().to_numpy(zero_copy_only=False).reshape(len(size), -1).view(np.uint64)
-                left, right = [], []
+                left, right, apart = [], [], []
                 for a in range(len(size) - 1):
                     ok = of[a + 1 :] != of[a]
                     if batch.column(0)[k].as_py() != batch.column(1)[k].as_py():
@@ -302,19 +298,52 @@ def _other_candidates(members: DataFrame, known: DataFrame, similarity: float) -
                     ok &= np.minimum(size[a + 1 :] - pos[a + 1 :], size[a] - pos[a]) >= need * total - 1e-9
                     b = np.flatnonzero(ok)
                     if len(b):
-                        apart = np.bitwise_count(prints[b + a + 1] ^ prints[a]).sum(axis=1, dtype=np.int64)
-                        b = b[apart <= (1 - 2 * need) * total[b] + 1e-9] + a + 1
+                        bits = np.bitwise_count(prints[b + a + 1] ^ prints[a]).sum(axis=1, dtype=np.int64)
+                        close = bits <= (1 - 2 * need) * total[b] + 1e-9
+                        b = b[close]
                         left.append(np.full(len(b), a))
-                        right.append(b)
+                        right.append(b + a + 1)
+                        apart.append(bits[close] / total[b])
                 if left:
+                    left, right, apart = (np.concatenate(x) for x in (left, right, apart))
+                    if nearest:
+                        left, right, apart = np.append(left, right), np.append(right, left), np.append(apart, apart)
+                        order = np.lexsort((apart, left))
+                        order = order[np.append(True, left[order][1:] != left[order][:-1])[: len(order)]]
+                        left, right, apart = left[order], right[order], apart[order]
                     doc = rows.field("doc_id")
-                    yield pa.record_batch([doc.take(pa.array(np.concatenate(left))), doc.take(pa.array(np.concatenate(right)))], names=["a", "b"])
+                    yield pa.record_batch([doc.take(pa.array(left)), doc.take(pa.array(right)), pa.array(apart, pa.float64())], names=["a", "b", "apart"])
 
-    kind = known.schema["doc_id"].dataType.simpleString()
-    pairs = mapped(groups.select("i", "j", "all"), run, f"a {kind}, b {kind}")
+    pairs = mapped(groups.select("i", "j", "all"), run, f"a {kind}, b {kind}, apart double")
+    if nearest:
+        pairs = pairs.groupBy("a").agg(F.min(F.struct("apart", "b"))["b"].alias("b"))
     return pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 
 
+def _nearest(members: DataFrame, known: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """Pairs u > v of different classes, one a document at most: those of rows of more than CROWD members with the nearest they meet.
+
+    A row is cut into blocks by a hash that is another one each turn, and a block's members meet each other, so this grows with the members and not with their square.
+    """
+    met = members.drop("size").join(known, "doc_id")
+    rows = met.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).filter((F.col("n") > CROWD) & F.expr("lo <> hi")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = met.join(rows, "key").withColumn("block", F.pmod(F.xxhash64("doc_id", "key", F.lit(turn)), F.col("blocks")).cast("int"))
+    groups = dealt.groupBy("key", F.col("block").alias("i"), F.col("block").alias("j")).agg(F.collect_list(F.struct("doc_id", "class", "size", "pos", "block", "segments")).alias("all"))
+    return _compared(groups, known.schema["doc_id"].dataType.simpleString(), similarity, True)
+
+
+def _other_candidates(members: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """All pairs u > v of different classes that share a key, but those whose sizes, places of the key or sketches rule the similarity out.
+
+    A row of n members is cut into blocks by hash, and each two blocks are compared in a task's memory, so no row is too long.
+    """
+    met = members.drop("size").join(known, "doc_id")
+    rows = met.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = met.join(rows, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    groups = dealt.groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.struct("doc_id", "class", "size", "pos", "block", "segments")).alias("all"))
+    return _compared(groups, known.schema["doc_id"].dataType.simpleString(), similarity, False)
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """Those of pairs u, v whose sets of shingles are similar; sketches, which differ in at most as many bits as the sets in shingles, rule most others out."""
     side = lambda doc, bits, size: rows.select(F.col("doc_id").alias(doc), F.col("segments").alias(bits), F.col("size").alias(size))
@@ -348,8 +377,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     of at least ``similarity``. Every such pair ends in one component: candidates are all that share one of the first
     shingles (see _prefixes), and each is verified by the complete sets. First every document is verified against the
     smallest of each of its rows, and against the smallest with an equal set, which stands for them from then on;
-    then against a member of another class that differs from row to row, then all pairs that are still of different classes, so a large group of near copies costs a few candidates a member. As the rarest
-    shingles come first, what a family of texts shares is a key only if it is most of them. A text without words has no near duplicate.
+    then against a member of another class that differs from row to row, then, as long as that links a tenth of many, against the nearest of another class that it meets in its rows (see _nearest), and
+    at last all pairs that are still of different classes. So a large group of near copies costs a few candidates a member; only pairs that are just below the similarity, in classes that nothing
+    links, are all verified. As the rarest shingles come first, what a family of texts shares is a key only if it is most of them. A text without words has no near duplicate.
     """
     bare = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
     prefixes = _prefixes(bare, words, similarity)
@@ -364,7 +394,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     first = _verified(_stars(members.withColumn("class", F.col("doc_id")), F.col("doc_id"), similarity).unionByName(copies), rows, bare, words, similarity)
     second = _verified(_stars(members.join(_classes(rows, first).select("doc_id", "class"), "doc_id"), F.xxhash64("key", "doc_id"), similarity), rows, bare, words, similarity)
-    near = first.unionByName(second)
+    near, turn = stored(first.unionByName(second)), 0
+    while (most := (pairs := stored(_nearest(members, _classes(rows, near), similarity, turn))).count()) >= BLOCK:
+        found = _verified(pairs, rows, bare, words, similarity)
+        near, turn = stored(near.unionByName(found)), turn + 1
+        if found.count() * 10 < most:
+            break
     others = _verified(stored(_other_candidates(members, _classes(rows, near), similarity)), rows, bare, words, similarity)
     near = near.unionByName(others)
     return components(near).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))

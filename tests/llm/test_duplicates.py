@@ -6,6 +6,8 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
+from lexiloom.llm import simhash
+from lexiloom.llm.common import stored
 from lexiloom.llm.components import components
 from lexiloom.llm.exact_dedup import exact_dedup, normal_text
 from lexiloom.llm.simhash import fingerprints_of, links, near_duplicates, shingle_hashes, simhash_classes
@@ -180,3 +182,25 @@ def test_near_pairs_by_blocks_and_of_short_texts(spark):
         texts += [" ".join(base), " ".join(base)]  # equal sets
     want = brute_classes(texts)
     assert len(want) > 500 and found_classes(spark, texts) == want
+
+
+def test_a_large_group_costs_few_candidates_a_member(spark, monkeypatch):
+    """One class of 600 texts, of which 33,267 pairs of 179,700 are similar: one text links few of the others."""
+    g = np.random.default_rng(8)
+    texts = []
+    for k in range(600):
+        own = [f"b{i}" for i in range(150)]
+        for at in g.choice(150, 2, replace=False):
+            own[at] = f"c{k}x{at}"
+        texts.append(" ".join(own))
+    seen, verified = [], simhash._verified
+
+    def counted(pairs, *rest):
+        pairs = stored(pairs)
+        seen.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "_verified", counted)
+    want = brute_classes(texts)
+    assert set(want.values()) == {0} and len(want) == 600 and found_classes(spark, texts) == want
+    assert sum(seen) < 20 * len(texts)
