@@ -321,13 +321,12 @@ def _compared(groups: DataFrame, kind: str, similarity: float, nearest: bool) ->
 
 
 def _nearest(members: DataFrame, known: DataFrame, similarity: float, turn: int) -> DataFrame:
-    """Pairs u > v of different classes, one a document at most: those of rows of more than CROWD members with the nearest they meet.
+    """Pairs u > v of different classes, one a document at most: each with the nearest it meets in its rows.
 
     A row is cut into blocks by a hash that is another one each turn, and a block's members meet each other, so this grows with the members and not with their square.
     """
-    met = members.drop("size").join(known, "doc_id")
-    rows = met.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).filter((F.col("n") > CROWD) & F.expr("lo <> hi")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = met.join(rows, "key").withColumn("block", F.pmod(F.xxhash64("doc_id", "key", F.lit(turn)), F.col("blocks")).cast("int"))
+    rows = members.join(known.select("doc_id", "class"), "doc_id").groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.drop("size").join(rows, "key").join(known, "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id", "key", F.lit(turn)), F.col("blocks")).cast("int"))
     groups = dealt.groupBy("key", F.col("block").alias("i"), F.col("block").alias("j")).agg(F.collect_list(F.struct("doc_id", "class", "size", "pos", "block", "segments")).alias("all"))
     return _compared(groups, known.schema["doc_id"].dataType.simpleString(), similarity, True)
 
@@ -377,7 +376,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     of at least ``similarity``. Every such pair ends in one component: candidates are all that share one of the first
     shingles (see _prefixes), and each is verified by the complete sets. First every document is verified against the
     smallest of each of its rows, and against the smallest with an equal set, which stands for them from then on;
-    then against a member of another class that differs from row to row, then, as long as that links a tenth of many, against the nearest of another class that it meets in its rows (see _nearest), and
+    then against a member of another class that differs from row to row, then, as long as that links a tenth of many, against the nearest of another class that it meets in its rows of more than CROWD members (see _nearest), and
     at last all pairs that are still of different classes. So a large group of near copies costs a few candidates a member; only pairs that are just below the similarity, in classes that nothing
     links, are all verified. As the rarest shingles come first, what a family of texts shares is a key only if it is most of them. A text without words has no near duplicate.
     """
@@ -387,15 +386,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     equal = rows.groupBy("whole", "size").agg(F.count("*").alias("n"), F.min("doc_id").alias("v")).filter("n > 1").drop("n")
     copies = stored(rows.join(equal, ["whole", "size"]).filter("doc_id <> v").select(F.col("doc_id").alias("u"), "v"))
     dealt = without(prefixes, copies.select(F.col("u").alias("doc_id")), "doc_id").select("doc_id", "size", F.posexplode("keys").alias("pos", "key"))
-    again = stored(dealt.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
-    members = stored(with_hit(dealt, filter_of(again, "key"), "key").filter("_hit").drop("_hit").join(again, "key"))
+    again = stored(dealt.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    members = stored(with_hit(dealt, filter_of(again, "key"), "key").filter("_hit").drop("_hit").join(again.select("key"), "key"))
     removed(prefixes)
+    crowd = stored(members.join(again.filter(F.col("n") > CROWD).select("key"), "key"))
     removed(again)
 
     first = _verified(_stars(members.withColumn("class", F.col("doc_id")), F.col("doc_id"), similarity).unionByName(copies), rows, bare, words, similarity)
     second = _verified(_stars(members.join(_classes(rows, first).select("doc_id", "class"), "doc_id"), F.xxhash64("key", "doc_id"), similarity), rows, bare, words, similarity)
     near, turn = stored(first.unionByName(second)), 0
-    while (most := (pairs := stored(_nearest(members, _classes(rows, near), similarity, turn))).count()) >= BLOCK:
+    while (most := (pairs := stored(_nearest(crowd, _classes(rows, near), similarity, turn))).count()) >= BLOCK:
         found = _verified(pairs, rows, bare, words, similarity)
         near, turn = stored(near.unionByName(found)), turn + 1
         if found.count() * 10 < most:
