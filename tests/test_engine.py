@@ -67,6 +67,16 @@ def test_bm25_against_fts5(spark, expression, stemmed):
         assert set(got) == set(want) and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
 
 
+def plan(rows) -> str:
+    return rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bm25_makes_words_once_a_scan(spark):
+    """A filter of the counts used to make the words of a text anew for each of its terms."""
+    assert plan(search.bm25(chunks(spark, *TEXTS), "th* an*")).count("regexp_replace(") == 2
+    assert plan(search.matching(chunks(spark, *TEXTS), '"licensed under" OR scum')).count("regexp_replace(") == 1
+
+
 def test_hybrid(spark):
     c = chunks(spark, "hello world", "goodbye world")
     v = spark.createDataFrame([("c0", [1.0, 0.0]), ("c1", [0.0, 1.0])], "chunk_id string, vector array<double>")

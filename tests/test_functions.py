@@ -5,6 +5,7 @@ import sqlite3
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lexiloom.functions import patterns as P
 from lexiloom.functions import text as T
@@ -174,3 +175,19 @@ def test_parsers_and_their_bounds():
 
 def test_branch_suffix():
     assert branch_suffix("w", "main") == "" and branch_suffix("w", "feature/a:b") == "-w-feature-a-b"
+
+
+def test_a_stem_begins_as_its_word():
+    ends = ("", "s", "es", "ies", "ed", "eed", "ing", "y", "ly", "e", "ll", "ion", "ness", "ful", "ational", "ization", "ement", "iviti", "sses", "ated", "izing")
+    for n in (1, 2, 3, 4):
+        for stem in itertools.product("abeiyzst", repeat=n):
+            for end in ends:
+                w = "".join(stem) + end
+                assert T.porter(w)[0] == w[0]
+    assert all(T.porter(e)[0] == e[0] for e in ends if e)
+
+
+def test_word_count_is_that_of_tokens(spark):
+    texts = ["", " ", "a", "İstanbul'da, ÀÉ x", "a\u0301b ǅ Ⅷ ½ ㍿ \ue000", "no.no  no", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "content string").select("content", T.word_count(F.col("content")).alias("n"), F.size(T.tokens(F.col("content"))).alias("tokens"))
+    assert all(r["n"] == r["tokens"] for r in rows.collect() if r["content"] is not None)
