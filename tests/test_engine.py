@@ -77,6 +77,12 @@ def test_bm25_makes_words_once_a_scan(spark):
     assert plan(search.matching(chunks(spark, *TEXTS), '"licensed under" OR scum')).count("regexp_replace(") == 1
 
 
+def test_stemmed_bm25_shuffles_no_words(spark):
+    """It used to make postings of all words, and to join each with its stem."""
+    rows = search.bm25(chunks(spark, *TEXTS), "licens* fox*", stemmed=True)
+    assert "hashpartitioning" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_hybrid(spark):
     c = chunks(spark, "hello world", "goodbye world")
     v = spark.createDataFrame([("c0", [1.0, 0.0]), ("c1", [0.0, 1.0])], "chunk_id string, vector array<double>")
