@@ -1,4 +1,5 @@
 import math
+import random
 import sqlite3
 
 import pytest
@@ -48,6 +49,27 @@ def test_knn(spark):
     assert [(r["chunk_id"], r["distance"]) for r in got] == [("c1", 0.0), ("c2", 0.1)]
 
 
+@pytest.mark.parametrize("rows, block", [(16384, 4096), (40, 7)])
+def test_knn_many_against_brute_force(spark, rows, block):
+    """Near ties, copies, a constant far from zero, another size and a null, in one cell and in many; a cell has all its work (the cross join took a task to each file)."""
+    rng = random.Random(5)
+    some = [[1000 + rng.randrange(3) / 1e6 * rng.random() for _ in range(4)] for _ in range(150)] + [[rng.random() for _ in range(4)] for _ in range(100)]
+    some += [[0.5] * 4] * 60
+    v = spark.createDataFrame([*enumerate(some), (900, [1.0]), (901, [None, 0.0, 0.0, 0.0]), (902, None)], "chunk_id long, vector array<double>")
+    q = v.filter("chunk_id % 9 = 0").selectExpr("chunk_id AS query_id", "vector AS query")
+    got = {}
+    found = search.knn_many(v, q, 10, rows, block)
+    assert "CartesianProduct" not in plan(found) and "Join" not in plan(found)
+    for r in found.collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["distance"], r["chunk_id"])
+    near = search.l2(F.col("vector"), F.col("query"))
+    want = {}
+    for r in v.filter("chunk_id < 900").crossJoin(q.filter("query_id < 900")).select("query_id", "chunk_id", F.round(near, 6).alias("d")).collect():
+        want.setdefault(r["query_id"], []).append((r["d"], r["chunk_id"]))
+    want = {k: dict(enumerate(sorted(x)[:10], 1)) for k, x in want.items()}
+    assert {k: x for k, x in got.items() if k < 900} == want and got.get(900) == {1: (0.0, 900)}
+
+
 TEXTS = ["the running fox runs", "a lazy dog", "foo_bar baz", "the fox and the dog, the café", "running dogs bark", "Licensed under the Apache License", "", "no no no, no yes"]
 
 
