@@ -2,13 +2,15 @@ import math
 import random
 import sqlite3
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lexiloom import arrow
 from lexiloom.engine import Engine, search as dispatch
 from lexiloom.functions import text as T
-from lexiloom.operators import graph, search, tables
-from lexiloom.operators.embed import cut, hashing
+from lexiloom.operators import extract, graph, search, structural, tables
+from lexiloom.operators.embed import cut, embedded, hashing
 from lexiloom.operators.grep import grep, line_matches
 from lexiloom.plans import index, registry
 from lexiloom.sources import files as sources
@@ -89,6 +91,33 @@ def test_bm25_against_fts5(spark, expression, stemmed):
         assert set(got) == set(want) and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
 
 
+def test_emitted_gives_rows_on_as_they_are_made():
+    """A batch used to hold the rows of all files of a batch that Spark had sent."""
+    made = []
+    rows = (made.append(i) or (i, "x" * 100) for i in range(1000))
+    batches = arrow.emitted(rows, pa.schema([("n", pa.int32()), ("t", pa.string())]), 1000)
+    first = next(batches)
+    assert first.num_rows == len(made) < 10 and [*first["n"].to_pylist(), *(n for b in batches for n in b["n"].to_pylist())] == list(range(1000))
+    assert list(arrow.emitted([], pa.schema([("n", pa.int32())]))) == []
+
+
+@pytest.mark.parametrize("made", [lambda f: structural.structural_chunks(f, 5, 1), structural.structural_blocks, extract.extract_symbols, extract.extract_refs, lambda f: embedded(f, hashing(8), 3)])
+def test_python_reads_small_batches(spark, made):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, str(64 << 20))
+    files = spark.createDataFrame([(f"c{i}", f"f{i}.go", "go", f"h{i}", f"func f{i}() {{\n  g()\n}}\n" * 9) for i in range(10)], "id string, rel_path string, language string, hash string, content string")
+    try:
+        got = made(files)
+        assert int(spark.conf.get(key)) <= arrow.ARROW_BYTES and got.count() >= 10
+    finally:
+        spark.conf.unset(key)
+
+
+def test_embedded_in_batches(spark):
+    rows = embedded(chunks(spark, *TEXTS), hashing(8), 3).collect()
+    assert {r["chunk_id"]: r["vector"] for r in rows} == {f"c{i}": x.tolist() for i, x in enumerate(hashing(8)(TEXTS))} and len(rows) == len(TEXTS)
+
+
 def plan(rows) -> str:
     return rows._jdf.queryExecution().optimizedPlan().toString()
 
