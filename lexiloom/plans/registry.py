@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiloom.filters import filter_of, with_hit
 from lexiloom.functions import patterns, text as words
 from lexiloom.operators import graph, search, tables
 from lexiloom.operators.chunks import lines_of
@@ -567,7 +568,12 @@ def ft_tokenize(s, d):
 
 @query("ft_postings", f"WITH {_DOCS}, u AS (SELECT id, unnest(tokens) AS term FROM t) SELECT term, count(*) AS total, count(DISTINCT id) AS files FROM u GROUP BY 1")
 def ft_postings(s, d):
-    return search.postings(docs(s, d)).groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("files"))
+    """Only an id that may occur in several rows is told apart from others; an empty one stands for a row of its own."""
+    rows = docs(s, d)
+    again = rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
+    rows = with_hit(rows, filter_of(again, "id"), "id").withColumn("id", F.when(F.col("id").isNull() | F.col("_hit"), F.col("id")).otherwise(""))
+    files = F.count_if(F.col("id") == "") + F.count_distinct(F.nullif("id", F.lit("")))
+    return search.postings(rows).groupBy("term").agg(F.sum("tf").alias("total"), files.alias("files"))
 
 
 @query("ft_bm25", f"WITH {_DOCS}, {_bm25_sql('th', 'an')} SELECT id, round(score, 6) AS score FROM b")

@@ -128,6 +128,38 @@ def test_bm25_makes_words_once_a_scan(spark):
     assert plan(search.matching(chunks(spark, *TEXTS), '"licensed under" OR scum')).count("regexp_replace(") == 1
 
 
+def test_postings_make_words_once(spark):
+    """The filter before the generator made the words of a text twice more, each word of an expression read the index anew, and all words were shuffled."""
+    index = search.postings(c := chunks(spark, *TEXTS, None)), search.document_lengths(c)
+    assert plan(index[0]).count("regexp_replace(") == 1 and "Aggregate" not in plan(index[0]) and plan(index[1]).count("regexp_replace(") == 0
+    assert plan(search.bm25_indexed(*index, '"licensed under" OR scum OR the*')).count("regexp_replace(") == 2
+
+
+@pytest.mark.parametrize("stemmed", [False, True])
+def test_postings(spark, stemmed):
+    got = {(r["term"], r["id"]): r["positions"] for r in search.postings(chunks(spark, *TEXTS, None, "..", "Ünï 日本 running runs"), stemmed).collect() if r["tf"] == len(r["positions"])}
+    want = {}
+    for i, t in enumerate([*TEXTS, "", "", "Ünï 日本 running runs"]):
+        for pos, w in enumerate(T.split(t)):
+            want.setdefault((T.porter(w) if stemmed else w, f"c{i}"), []).append(pos)
+    assert got == want
+
+
+def test_postings_of_repeated_documents(spark, tmp_path):
+    rows = [(1, "a b a", "x", "en"), (1, "a c", "x", "en"), (2, "a", "x", "en"), (3, None, "x", "en"), (4, "a d", None, "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["term"]: (r["total"], r["files"]) for r in registry.queries()["ft_postings"](spark, str(tmp_path)).collect()}
+    assert got["a"][0] == 5 and got["b"] == got["c"] == (1, 1) and got["d"][0] == 1
+
+
+def test_an_index_read_once_gives_each_phrase_its_words(spark):
+    """A term in several phrases, a phrase of one word twice, words next to each other in single and longer phrases."""
+    index = search.postings(c := chunks(spark, *TEXTS, "fox fox fox the fox")), search.document_lengths(c)
+    for e in ("fox OR fo* OR \"the fox\"", '"fox fox" fo*', '"the fox" NOT dog*', '"fox the" OR bark*', '"no no" OR "no yes" OR the'):
+        want, got = ({r["id"]: round(r["score"], 9) for r in x.collect()} for x in (search.bm25(c, e), search.bm25_indexed(*index, e)))
+        assert want == got and want
+
+
 def test_stemmed_bm25_shuffles_no_words(spark):
     """It used to make postings of all words, and to join each with its stem."""
     rows = search.bm25(chunks(spark, *TEXTS), "licens* fox*", stemmed=True)
